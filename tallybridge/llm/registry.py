@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid, licenses
 from .common import table
 
 
@@ -16,11 +16,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op7_language": op7_language,
     "op8_bpe": op8_bpe,
 }
 

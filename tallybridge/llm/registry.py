@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, secrets
+from . import bpe, decontaminate, langid, licenses, neardup, secrets
 from .common import table
 
 
@@ -38,12 +38,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,6 +239,29 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return id_and_bytes(df, id_col, text_col).mapInArrow(predictor(bc), f"doc_id {kind}, lang_pred string, score double, log_per_letter double")
 
 
+def tagging(model_bc, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predicted = predictor(model_bc)
+        for piece in slices(batches):
+            texts = piece.column("text").cast(pa.binary()).fill_null(b"")
+            doc = pa.RecordBatch.from_arrays([pa.array(range(piece.num_rows)), texts], ["doc_id", "text"])
+            found = pa.Table.from_batches(predicted([doc])).column("lang_pred").combine_chunks()
+            lang = pc.coalesce(piece.column("lang"), found)
+            out = pa.RecordBatch.from_arrays([lang if n == "lang" else piece.column(n) for n in names], names)
+            yield out.filter(pc.not_equal(found, "und"))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` (with text and lang, and any others) whose language can be told.
+
+    Rows that the model answers with ``und`` go; a null lang becomes the predicted one.
+    """
+    bc = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(tagging(bc, docs.columns), docs.schema)
+
+
 def fold() -> F.Column:
     """The remainder that decides whether a document is held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, neardup, secrets
+from . import bpe, decontaminate, langid, licenses, neardup, secrets, vafile
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -46,9 +50,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
+    "op4_top_k": op4_top_k,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": vafile.SQL,
+}

@@ -6,6 +6,7 @@ extra columns with any names are harmless. A null text counts as the empty text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,3 +60,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
             configured = tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like :func:`checkpoint`, as a compressed Parquet table in the same shared folder."""
+    checkpoint(df.sparkSession.range(1))  # names the folder where the session has none
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

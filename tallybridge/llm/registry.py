@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, neardup, secrets, vafile
+from . import bpe, decontaminate, langid, licenses, neardup, secrets, suffixes, vafile
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_top_k": op4_top_k,
+    "op5_repeats": op5_repeats,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op10_near_duplicates": op10_near_duplicates,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, neardup, secrets, suffixes, vafile
+from . import bpe, decontaminate, langid, licenses, neardup, secrets, suffixes, tokencount, vafile
 from .common import table
 
 
@@ -37,6 +37,14 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    separator = 50256
+    blocks = tokencount.token_stream(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, separator)
+    return tokencount.count_documents(blocks, separator).select("doc_id", "n_tokens")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_top_k": op4_top_k,
     "op5_repeats": op5_repeats,
+    "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op10_near_duplicates": op10_near_duplicates,

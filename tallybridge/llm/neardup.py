@@ -2,9 +2,10 @@
 
 Texts with one and the same shingle set form a class, and only the class's first document goes on.
 Bands of signature values bring similar documents together. Within a band's bucket no list of all pairs
-is made: first every member is tried against one member drawn for that bucket, and the links that hold
-up join documents into components. Only where a bucket still holds several components are members of
-different components tried against each other. A try compares signatures first and full sets last.
+is made: first every member is tried against one member, that of most weight in all buckets, and the
+links that hold up join documents into components. Only where a bucket still holds several components are
+members of different components tried against each other: in small buckets pair by pair, in large ones
+block by block within a task. A try compares signatures first and full sets last.
 
 With 40 bands of 5 minima a pair at similarity 0.8 shares no band with a chance of 1e-7, and at 0.9 of
 1e-16. The signature check (at least 0.6 of the minima agree) passes a pair at 0.8 but for 1e-11.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_bytes, slices
+from .common import checkpoint, id_and_bytes, slices, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -27,8 +28,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 AGREE = int(0.6 * HASHES)
 #: Largest bucket whose cross-component pairs are joined row by row; larger ones are compared in blocks.
-SMALL_BUCKET = 48
-BLOCK = 2048
+SMALL_BUCKET = 32
+BLOCK = 1024
 #: Stands for a null id inside the operator; rows without id sort last and count as one document.
 NO_ID = (1 << 63) - 1
 _RND = np.random.default_rng(1729)
@@ -100,18 +101,29 @@ def confirming(percent: int):
     return run
 
 
-def in_blocks(left, right):
-    """One block of a large bucket against another: pairs of different components that agree."""
-    import pandas as pd
+def in_blocks(percent: int):
+    """One block of a large group against another: links between different components."""
+
+    def run(left, right):
+        import pandas as pd
+
+        out = []
+        if len(left) and len(right):
+            (xs, ys), (xb, yb) = ([np.frombuffer(b"".join(s[c]), np.uint8).reshape(len(s), -1) for s in (left, right)] for c in ("sig", "prints"))
+            sets = [np.frombuffer(s, np.uint64) for s in right["shingles"]]
+            ids, comp, n = (right[c].to_numpy() for c in ("id", "comp", "n"))
+            for row, sig, prints in zip(left.itertuples(), xs, xb, strict=True):
+                near = (comp != row.comp) & (ids != row.id) & (np.minimum(n, row.n) * 100 >= np.maximum(n, row.n) * percent)
+                near = np.flatnonzero(near)
+                near = near[(yb[near] == prints).any(axis=1)]
+                own = np.frombuffer(row.shingles, np.uint64)
+                for i in near[(ys[near] == sig).sum(axis=1) >= AGREE].tolist():
+                    shared = len(np.intersect1d(own, sets[i], assume_unique=True))
+                    if 100 * shared >= percent * (len(own) + len(sets[i]) - shared):
+                        out.append((min(row.id, ids[i]), max(row.id, ids[i])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    out = []
-    if len(left) and len(right):
-        x, y = (np.frombuffer(b"".join(s["sig"]), np.uint8).reshape(-1, HASHES) for s in (left, right))
-        ids, comp, n = (right[c].to_numpy() for c in ("id", "comp", "n"))
-        for row, sig in zip(left.itertuples(), x, strict=True):
-            hit = ((y == sig).sum(axis=1) >= AGREE) & (comp != row.comp) & (np.minimum(n, row.n) * 100 >= np.maximum(n, row.n) * 50)
-            out += [(min(row.id, i), max(row.id, i)) for i in ids[hit].tolist() if i != row.id]
-    return pd.DataFrame(out, columns=["a", "b"])
+    return run
 
 
 class NearDuplicates:
@@ -131,53 +143,67 @@ class NearDuplicates:
         a, b = (sigs.toDF(x, f"n_{x}", f"sig_{x}") for x in "ab")
         close = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * self.percent)
         pairs = checkpoint(pairs.join(a, "a").join(b, "b").filter(close).select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long").distinct())
-        return self.confirmed(pairs)
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = self.texts.join(ids, "doc_id", "left_semi").mapInArrow(set_maker(self.width), "id long, shingles binary")
-        return pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(confirming(self.percent), "a long, b long")
+        a, b = (self.sets.toDF(x, f"set_{x}") for x in "ab")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(confirming(self.percent), "a long, b long")
 
     def links(self) -> DataFrame:
         """Links between class representatives that join all that is linked at all."""
         parts = int(self.signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         members = self.reps.select("id", F.explode("bands").alias("key")).repartition(parts, "key")
-        drawn = members.groupBy("key").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("id", "key")).alias("lead")).filter("size > 1")
-        shared = checkpoint(members.join(drawn, "key").select("key", "id", "lead", "size"))
+        sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        shared = checkpoint(members.join(sizes, "key").select("key", "id", "size"))
+        # what is in many large buckets is the likeliest to be the text that others were made from
+        weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+        lead = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("lead"))
+        shared = checkpoint(shared.join(lead, "key"))
+        ids = shared.select(F.col("id").alias("doc_id")).distinct()
+        self.sets = written(self.texts.join(ids, "doc_id", "left_semi").mapInArrow(set_maker(self.width), "id long, shingles binary").dropDuplicates())
         stars = shared.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         first = checkpoint(self.tried(stars))
-        joined = components(first)
-        second = checkpoint(self.tried(self.across(shared, joined)))
-        return first.union(second).union(self.several_texts())
-
-    def several_texts(self) -> DataFrame:
-        """Links between the classes of one doc_id that stands for several texts."""
-        of = self.signed.select("id", "n", "one", "two").join(self.classes, ["n", "one", "two"]).select("id", "rep")
-        split = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
-        return of.join(split, "id").filter("rep <> a").select("a", F.col("rep").alias("b"))
-
-    def across(self, shared: DataFrame, joined: DataFrame) -> DataFrame:
-        """Pairs in one bucket whose components differ still."""
-        known = shared.select("key", "id", "size").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+        known = self.unsettled(shared, components(first))
+        second = checkpoint(self.tried(self.small_buckets(known.filter(F.col("size") <= SMALL_BUCKET))))
+        third = checkpoint(self.large_buckets(known.filter(F.col("size") > SMALL_BUCKET)))
+        return first.union(second).union(third).union(self.several_texts())
+
+    def unsettled(self, shared: DataFrame, joined: DataFrame) -> DataFrame:
+        """Members, with their components, of buckets that hold several components still."""
+        comp = joined.select(F.col("node").alias("id"), "component")
+        known = shared.join(comp, "id", "left").select("key", "id", "lead", "size", F.coalesce("component", "id").alias("comp"))
         mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        known = checkpoint(known.join(mixed, "key", "left_semi").join(self.reps.select("id", "n", "sig"), "id"))
-        few = known.filter(F.col("size") <= SMALL_BUCKET).select("key", "id", "comp", "n")
+        return checkpoint(known.join(mixed, "key", "left_semi"))
+
+    def small_buckets(self, known: DataFrame) -> DataFrame:
+        """Pairs in one bucket whose components differ."""
+        few = known.join(self.reps.select("id", "n"), "id").select("key", "id", "comp", "n")
         x, y = (few.toDF("key", f"id_{s}", f"comp_{s}", f"n_{s}") for s in "ab")
         close = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * self.percent)
-        small = x.join(y, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        return small.union(self.large_buckets(known.filter(F.col("size") > SMALL_BUCKET)))
+        return x.join(y, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
     def large_buckets(self, known: DataFrame) -> DataFrame:
-        """Members outside a bucket's largest component against all its members, block by block."""
-        counts = known.groupBy("key", "comp").agg(F.count("*").alias("own"))
-        main = counts.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), (F.sum("own") - F.max("own")).alias("rest"))
-        dealt = known.join(main, "key").withColumns({"left": F.ceil(F.col("rest") / BLOCK).cast("int"), "right": F.ceil(F.col("all") / BLOCK).cast("int")})
+        """Links in groups of large buckets that share members.
+
+        Each group's members outside its largest component meet all its members, block by block; full
+        sets are at hand there, so that only links leave a block.
+        """
+        group = components(known.select(F.col("id").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+        rows = checkpoint(known.select("id", "comp").distinct().join(group, "id"))
+        counts = rows.groupBy("grp", "comp").agg(F.count("*").alias("own"))
+        main = counts.groupBy("grp").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), (F.sum("own") - F.max("own")).alias("rest"))
+        prints = F.expr("array_join(transform(bands, b -> char(pmod(b, 127) + 1)), '')").cast("binary")
+        full = rows.join(main, "grp").join(self.reps.select("id", "n", "sig", prints.alias("prints")), "id").join(self.sets, "id")
+        dealt = full.withColumns({"left": F.ceil(F.col("rest") / BLOCK).cast("int"), "right": F.ceil(F.col("all") / BLOCK).cast("int")})
         place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
         left = dealt.filter("comp <> main").withColumn("i", (place % F.col("left")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("right") - 1)))
-        right = dealt.withColumn("j", (place % F.col("right")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left") - 1)))
-        columns = ["key", "i", "j", "id", "comp", "n", "sig"]
+        right = dealt.filter("rest > 0").withColumn("j", (place % F.col("right")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left") - 1)))
+        columns = ["grp", "i", "j", "id", "comp", "n", "sig", "prints", "shingles"]
         left, right = left.select(columns).toDF(*columns), right.select(columns).toDF(*columns)
-        return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(in_blocks, "a long, b long")
+        return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInPandas(in_blocks(self.percent), "a long, b long")
+
+    def several_texts(self) -> DataFrame:
+        """Links between the classes of one doc_id that stands for several texts."""
+        of = self.signed.select("id", "n", "one", "two").join(self.classes, ["n", "one", "two"]).select("id", "rep")
+        split = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
+        return of.join(split, "id").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
     def result(self) -> DataFrame:
         joined = components(self.links())

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from decimal import ROUND_FLOOR, Context, Decimal
+from decimal import ROUND_FLOOR, Context, Decimal, localcontext
+from functools import wraps
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ SETTINGS = {
 }
 
 
+def widely(build):
+    """Run a builder with so many digits that no step on a literal rounds."""
+
+    @wraps(build)
+    def run(*args, **kwargs):
+        with localcontext(WIDE):
+            return build(*args, **kwargs)
+
+    return run
+
+
 @contextmanager
 def exact_session(spark: SparkSession) -> Iterator[None]:
     """Build frames under the settings that exactness needs, and restore the user's own afterwards."""
@@ -79,6 +91,7 @@ def to_scale(value: Decimal, scale: int) -> Decimal:
     return value.quantize(Decimal(1).scaleb(-scale), rounding=ROUND_FLOOR, context=WIDE)
 
 
+@widely
 def compared(c: Column, scale: int, operator: str, bound: Decimal) -> Column:
     """``c operator bound`` for an exact column of this scale; the bound may have any scale.
 
@@ -103,6 +116,7 @@ def compared(c: Column, scale: int, operator: str, bound: Decimal) -> Column:
     return c <= at
 
 
+@widely
 def is_within(a: Column, b: Column, scale: int, tolerance: Decimal) -> Column:
     """Whether two exact non-null values of this scale are at most ``tolerance`` apart."""
     dtype, most = T.DecimalType(38, scale), limits(scale)

@@ -225,3 +225,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     last, and have a null component_id unless linked to others.
     """
     return NearDuplicates(df, width, percent, id_col, text_col).result()
+
+
+#: The same groups for shingles of four words, in DuckDB; it joins all documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))) END AS s FROM words
+), shingles AS (SELECT doc_id, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(len(sa.s)) + any_value(len(sb.s)) - count(*))
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id, doc_id AS low FROM sets UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.doc_id WHERE r.low < e.b
+), least AS (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id, doc_id = low AS kept FROM sets JOIN least USING (doc_id)
+"""

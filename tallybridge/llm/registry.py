@@ -77,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": vafile.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }

@@ -19,8 +19,8 @@ from .licenses import words_of as ascii_words
 
 #: Word edits allowed, as a share of the item's words.
 BUDGET = 0.2
-#: Least words of a piece; a larger budget than this allows is cut down.
-PIECE_WORDS = 5
+#: Items of fewer words match nothing unless the caller asks for them.
+LEAST_WORDS = 5
 #: Bytes of benchmark text searched at once; larger benchmarks are searched block by block.
 BLOCK_BYTES = 16 << 20
 
@@ -58,39 +58,59 @@ def best_match(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
     return best, at
 
 
+def allowed(budget: float, words: int) -> int:
+    """Edits allowed in so many words (0.29 of 100 are 29, though the float product is less)."""
+    return int(budget * words + 1e-9)
+
+
 class Items:
-    def __init__(self, items: list[tuple[int, bytes]], budget: float, piece_words: int):
+    def __init__(self, items: list[tuple[int, bytes]], budget: float, least_words: int):
         self.items: list[tuple[int, list[bytes], int]] = []
-        self.pieces: dict[tuple[bytes, bytes], list[tuple[list[bytes], int, int]]] = {}
+        #: (item, offset) by the whole piece, and the lengths of pieces by their first one or two words
+        self.pieces: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        self.lengths: dict[tuple[bytes, ...], set[int]] = {}
+        self.single = False
         for item_id, raw in sorted(items):
             words = words_of(raw)
-            if len(words) < piece_words:
+            if len(words) < max(1, least_words):
                 continue
-            k = min(int(budget * len(words)), len(words) // piece_words - 1)
+            k = allowed(budget, len(words))
             number = len(self.items)
             self.items.append((item_id, words, k))
             cuts = [i * len(words) // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                self.pieces.setdefault((words[a], words[a + 1]), []).append((words[a:b], number, a))
+                self.pieces.setdefault(tuple(words[a:b]), []).append((number, a))
+                self.lengths.setdefault(tuple(words[a : min(b, a + 2)]), set()).add(b - a)
+                self.single |= b - a == 1
+
+    def places(self, words: list[bytes], number: int, low: int, high: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """The item's nearest place in words[low:high], and those beside it that do not overlap it."""
+        item_id, pattern, k = self.items[number]
+        if high - low < len(pattern) - k:
+            return
+        distance, end = best_match(pattern, words[low:high])
+        if distance <= k:
+            stretch = words[low : low + end]
+            start = low + end - best_match(pattern[::-1], stretch[::-1])[1]
+            yield item_id, len(pattern), distance, start, low + end - 1
+            yield from self.places(words, number, low, start)
+            yield from self.places(words, number, low + end, high)
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(item, words of the item, distance, first word, last word) of each place, without overlaps."""
-        pieces, found, done = self.pieces, [], {}
-        for at in [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in pieces]:
-            for piece, number, offset in pieces[words[at], words[at + 1]]:
-                if words[at : at + len(piece)] != piece:
-                    continue
-                item_id, pattern, k = self.items[number]
-                # of hits on one line through document and item, the first covers all
-                if (line := done.get((number, at - offset), -1)) >= at:
-                    continue
-                low, high = max(0, at - offset - k), at - offset + len(pattern) + k
-                done[number, at - offset] = high
-                distance, end = best_match(pattern, words[low:high])
-                if distance <= k:
-                    stretch = words[low : low + end]
-                    start = low + end - best_match(pattern[::-1], stretch[::-1])[1]
-                    found.append((item_id, len(pattern), distance, start, low + end - 1))
+        lengths, found, done = self.lengths, [], set()
+        heads = [(i, pair) for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in lengths]
+        if self.single:
+            heads += [(i, (w,)) for i, w in enumerate(words) if (w,) in lengths]
+        for at, head in heads:
+            for n in lengths[head]:
+                for number, offset in self.pieces.get(tuple(words[at : at + n]), ()):
+                    # hits on one line through document and item name one stretch
+                    if (number, at - offset) in done:
+                        continue
+                    done.add((number, at - offset))
+                    _, pattern, k = self.items[number]
+                    found += self.places(words, number, max(0, at - offset - k), min(len(words), at - offset + len(pattern) + k))
         kept: list[tuple[int, int, int, int, int]] = []
         last: dict[int, int] = {}
         for f in sorted(found, key=lambda f: (f[0], f[3], f[2], f[4])):
@@ -103,9 +123,9 @@ class Items:
         return kept
 
 
-def searching(items_bc, budget: float, piece_words: int):
+def searching(items_bc, budget: float, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(items_bc.value, budget, piece_words)
+        items = Items(items_bc.value, budget, least_words)
         for piece in slices(batches):
             rows, of = [], []
             for i, raw in enumerate(piece.column("text").to_pylist()):
@@ -118,25 +138,29 @@ def searching(items_bc, budget: float, piece_words: int):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece_words: int = PIECE_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find benchmark items, up to the edit budget, in each row's whole text.
 
     ``benchmark`` has item_id and text. Returns a row per place: the document's id, item_id,
     item_words, distance (in words), first_word and last_word; of overlapping places of one item the
     nearest stays. Words are those of ASCII letters and digits and of other characters, without case.
-    Null or empty items and those of fewer than ``piece_words`` words cannot be told from chance and
-    match nothing; null and empty texts hold nothing; items and rows that repeat repeat. The benchmark
+    The budget is the share of the item's words, rounded down, at every length. Items of fewer than
+    ``least_words`` words cannot be told from chance and match nothing by default; with 1, all are
+    searched, those too short for an edit as exact word runs. Null or empty items match nothing; null
+    and empty texts hold nothing; items and rows that repeat repeat. The benchmark
     goes to the tasks in blocks of ``block_bytes`` of text, each searched by a scan of its own, so that
     no more than that is broadcast at once.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    if not 0 <= budget < 1:
+        raise ValueError("the budget must be at least 0 and less than 1: an item may not lose all its words")
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
     for b in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         bc = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in block.collect()])
-        got = id_and_bytes(docs, id_col, text_col).mapInArrow(searching(bc, budget, piece_words), f"doc_id {kind}, item_id long, item_words long, distance long, first_word long, last_word long")
+        got = id_and_bytes(docs, id_col, text_col).mapInArrow(searching(bc, budget, least_words), f"doc_id {kind}, item_id long, item_words long, distance long, first_word long, last_word long")
         out = got if out is None else out.unionByName(got)
     return out

@@ -53,3 +53,30 @@ def test_leaks(spark):
                 want.add((r.doc_id, item))
     assert {p for p in pairs if p[0] is not None and (p[0] % 7 == 0 or p[0] < 0) and p[0] != -1002} == want
     assert dec.find_leaks(df.filter("false"), odd).count() == 0 and dec.find_leaks(df, odd.filter("false")).count() == 0
+
+
+def test_the_whole_budget_at_every_length(spark):
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = {m: [rnd.choice(vocabulary) for _ in range(m)] for m in (1, 2, 3, 4, 5, 6, 9, 10, 24, 25, 50, 101)}
+    rows = []
+    for m, words in items.items():
+        for edits in (m // 5, m // 5 + 1):
+            w = list(words)
+            for i in rnd.sample(range(m), edits):
+                w[i] = "edited"
+            rows.append((len(rows), " ".join(["before", *w, "after"])))
+    rows += [(len(rows) + i, " ".join(rnd.choice(vocabulary) for _ in range(300))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(m, " ".join(w)) for m, w in items.items()], "item_id long, text string")
+    encoded = {m: [w.encode() for w in words] for m, words in items.items()}
+    for budget, edits in ((0.2, lambda m: m // 5), (0.5, lambda m: m // 2)):
+        got = {(r.doc_id, r.item_id) for r in dec.find_leaks(docs, bench, budget=budget, least_words=1).collect()}
+        want = {(d, m) for d, text in rows for m, p in encoded.items() if semi_global(p, text.encode().split())[0] <= edits(m)}
+        assert got == want
+    assert {(2 * i, m) for i, m in enumerate(items) if m >= 5} <= {(r.doc_id, r.item_id) for r in dec.find_leaks(docs, bench).collect()}
+
+
+def test_two_places_in_one_stretch():
+    found = dec.Items([(7, b"a b c d")], 0.5, 1).find(b"a b x a b".split())
+    assert [(f[3], f[4]) for f in found] == [(0, 1), (3, 4)]

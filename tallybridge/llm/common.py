@@ -12,11 +12,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; bounds the numpy scratch space of every operator.
 SLICE_BYTES = 2 << 20
+#: Numbers from here on stand for rows without an id inside operators that link or compare rows.
+NO_ID = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,26 +47,50 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = upto
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set only where
-    that setting is absent, as in local tests.
+    A temporary one is set only where that setting is absent and all tasks run in the driver's own
+    process, as in local tests; on a cluster without the setting this is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             configured = tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like :func:`checkpoint`, as a compressed Parquet table in the same shared folder."""
-    checkpoint(df.sparkSession.range(1))  # names the folder where the session has none
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(rows: int, rows_per_task: int = 250_000) -> int:
+    """So many tasks for a table of small rows; few rows in many tasks cost more files than data."""
+    return max(1, -(-rows // rows_per_task))
+
+
+def node_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's whole-number id; rows without one get a number beyond 2**62 that their text decides.
+
+    Rows that repeat an id are one document; rows without id are documents of their own, one for each text.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 3))

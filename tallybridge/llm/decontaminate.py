@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices
+from .common import id_and_bytes, slices, written
 from .licenses import words_of as ascii_words
 
 #: Word edits allowed, as a share of the item's words.
@@ -138,6 +139,16 @@ def searching(items_bc, budget: float, least_words: int):
     return run
 
 
+def dropping(items_bc, budget: float, least_words: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(items_bc.value, budget, least_words)
+        for piece in slices(batches):
+            texts = piece.column("text").cast(pa.binary()).to_pylist()
+            yield piece.filter(pa.array([raw is None or not items.find(words_of(raw)) for raw in texts], pa.bool_())).select(names)
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find benchmark items, up to the edit budget, in each row's whole text.
 
@@ -151,16 +162,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, le
     goes to the tasks in blocks of ``block_bytes`` of text, each searched by a scan of its own, so that
     no more than that is broadcast at once.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = None
+    for items_bc in benchmark_blocks(benchmark, budget, block_bytes):
+        got = id_and_bytes(docs, id_col, text_col).mapInArrow(searching(items_bc, budget, least_words), f"doc_id {kind}, item_id long, item_words long, distance long, first_word long, last_word long")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def benchmark_blocks(benchmark: DataFrame, budget: float, block_bytes: int) -> Iterator[Broadcast]:
+    """The items (item_id, text) in broadcasts of about ``block_bytes`` of text, one after the other."""
+    if not 0 <= budget < 1:
+        raise ValueError("the budget must be at least 0 and less than 1: an item may not lose all its words")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    if not 0 <= budget < 1:
-        raise ValueError("the budget must be at least 0 and less than 1: an item may not lose all its words")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = None
     for b in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        bc = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in block.collect()])
-        got = id_and_bytes(docs, id_col, text_col).mapInArrow(searching(bc, budget, least_words), f"doc_id {kind}, item_id long, item_words long, distance long, first_word long, last_word long")
-        out = got if out is None else out.unionByName(got)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in block.collect()])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` (with text, and any others) that hold no benchmark item, as find_leaks sees it.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay; repeated rows stay or
+    go together; an empty benchmark drops nothing. Between two blocks of the benchmark the rows left are
+    written to the shared folder, so that a task holds one block at a time.
+    """
+    for i, items_bc in enumerate(benchmark_blocks(benchmark, budget, block_bytes)):
+        docs = (written(docs) if i else docs).mapInArrow(dropping(items_bc, budget, least_words, docs.columns), docs.schema)
+    return docs

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import written
 
 #: Vectors of one shard, and queries that meet it at once; both bound a task's memory.
 SHARD_ROWS, QUERY_ROWS = 4096, 1024
@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     with the query's own vec_id is no candidate, and only vectors with as many components are. Rows that
     repeat an id and its vector count once. Empty tables give no rows.
     """
-    vectors, queries = checkpoint(vectors.dropDuplicates(["vec_id", "v"])), checkpoint(queries.dropDuplicates(["vec_id", "v"]))
+    vectors, queries = written(vectors.dropDuplicates(["vec_id", "v"])), written(queries.dropDuplicates(["vec_id", "v"]))
     dim = F.size("v")
     sizes = {r.dim: r.n for r in vectors.groupBy(dim.alias("dim")).agg(F.count("*").alias("n")).collect()}
     asked = queries.agg(F.count("*")).first()[0]

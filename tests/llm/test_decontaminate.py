@@ -80,3 +80,15 @@ def test_the_whole_budget_at_every_length(spark):
 def test_two_places_in_one_stretch():
     found = dec.Items([(7, b"a b c d")], 0.5, 1).find(b"a b x a b".split())
     assert [(f[3], f[4]) for f in found] == [(0, 1), (3, 4)]
+
+
+def test_rows_without_leaks_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a {item} b", "x"), (1, "clean text", "y"), (None, f"{item.upper()}", "x"), (None, "clean", "x"), (2, None, "x"), (3, "", None), (4, f"a {item} b", "x"), (4, f"a {item} b", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "clean text a b c"), (5, item)], "item_id long, text string")
+    want = sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    for block_bytes in (1 << 20, 60):
+        assert sorted(map(tuple, without_leaks(df, bench, block_bytes=block_bytes).collect()), key=str) == want
+    assert without_leaks(df, bench.filter("false")).count() == len(rows)
+    assert without_leaks(df.filter("false"), bench).count() == 0

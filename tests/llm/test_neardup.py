@@ -80,12 +80,12 @@ def test_documents_and_odd_rows(spark):
             w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
         rows.append((6000 + i, " ".join(w)))
     df = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("*", "1 as n", "'x' as key", "2 as id")
-    small = neardup.SMALL_BUCKET
+    whole = neardup.BLOCK_SHINGLES
     try:
-        neardup.SMALL_BUCKET = 20
+        neardup.BLOCK_SHINGLES = 3000  # several blocks in a group
         got = neardup.near_duplicates(df, width=4).collect()
     finally:
-        neardup.SMALL_BUCKET = small
+        neardup.BLOCK_SHINGLES = whole
     data = [(neardup.NO_ID if r.doc_id is None else r.doc_id, r.text) for r in df.collect()]
     want = brute(data, 4)
     assert len(got) == len(data)
@@ -103,3 +103,16 @@ def test_signature_estimates():
         both = int(600 * 2 * share / (1 + share))
         y = np.concatenate([x[:both], rnd.integers(0, 2**63, 600 - both, dtype=np.uint64)])
         assert abs((neardup.signature(x) == neardup.signature(y)).mean() - share) < 0.13
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    rnd = random.Random(4)
+    one, two = (" ".join(f"w{rnd.randrange(9999)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one, "x"), (2, two, "x"), (None, one + " more", "a"), (None, two + " more", "b"), (None, "alone here", "c"), (None, "alone here", "c"), (None, None, None), (7, "own text of seven", "z"), (7, "own text of seven", "y"), (7, "own text of seven", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    # two texts without id, each like another document, join nothing with each other
+    assert {(1, 1, True), (2, 2, True), (None, 1, False), (None, 2, False), (None, None, True), (7, 7, True)} == got
+    left = sorted(map(tuple, neardup.first_of_groups(df).collect()), key=str)
+    assert left == sorted([rows[0], rows[1], rows[4], rows[6], rows[8]], key=str)
+    assert neardup.first_of_groups(df.filter("false")).count() == 0

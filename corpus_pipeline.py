@@ -11,10 +11,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallybridge.llm import bpe, decontaminate, langid, neardup, secrets
-from tallybridge.llm.common import checkpoint, table
+from tallybridge.llm.common import shared_folder, table
 from tallybridge.llm.registry import tokenizer_file
 
 
@@ -27,15 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five words, similarity 0.8."""
-    groups = neardup.near_duplicates(docs)
-    dropped = checkpoint(groups.filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return neardup.first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item."""
-    leaks = checkpoint(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint(spark.range(1))  # names the shared folder where the session has none
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = f"{base}/{name}"

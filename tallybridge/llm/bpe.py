@@ -28,6 +28,11 @@ from .common import id_and_bytes, slices
 NONE = np.int32(2**31 - 1)
 #: Words kept in a task's memo before it starts anew; bounds a worker's memory.
 MEMO_WORDS = 250_000
+#: Ends of the ranges of characters that have word patterns of their own.
+PLANES = (0x80, 0x10000, 0x110000)
+#: The inside of a character class that matches nothing.
+NOTHING = "^\\0-\U0010ffff"
+beyond_basic = re.compile("[\U00010000-\U0010ffff]").search
 #: Longest word merged side by side with others; longer ones get a tree of their own.
 WIDEST = 64
 
@@ -62,7 +67,7 @@ def load_tables(path: str) -> dict:
         "by_rank": by_rank,
         "names": [names.get(i, "").encode() for i in range(max(names) + 1)],
         "special": special,
-        "pattern": word_pattern(path),
+        "patterns": word_patterns(path),
         "capitals": newer_capitals(path),
         **pair_hash(pairs, rank),
     }
@@ -227,8 +232,11 @@ def newer_capitals(path: str) -> dict[int, str]:
     return {ord(c): f for c, f in zip(unknown, forms, strict=True) if f != c}
 
 
-def word_pattern(path: str) -> str:
-    """Cuts lower-cased text into words: contractions, letters, single digits, other signs.
+def word_patterns(path: str) -> list[str]:
+    """Cut lower-cased text into words: contractions, letters, single digits, other signs.
+
+    One pattern for texts of each plane: the classes of a plane hold its own characters alone, so that
+    ASCII is not looked up in long lists of ranges.
 
     Letters and numbers are those of Python's Unicode tables; characters that these do not know yet
     are classed by how the file's own splitting rule treats them twice after an "a".
@@ -246,9 +254,17 @@ def word_pattern(path: str) -> str:
         pieces[start // 4] = pieces.get(start // 4, 0) + 1
     kinds["L"] += [c for i, c in enumerate(unknown) if pieces[i] == 1]
     kinds["N"] += [c for i, c in enumerate(unknown) if pieces[i] == 3]
-    blank = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    letter, number = char_class(kinds["L"]), char_class(kinds["N"])
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{blank}{letter}{number}]+"
+    blank = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    out = []
+    for end in PLANES:
+        letter, number, space = (char_class([c for c in codes if c < end]) for codes in (kinds["L"], kinds["N"], blank))
+        out.append(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+    return out
+
+
+def plane_of(text: str) -> int:
+    """The first of PLANES that holds all of a text's characters."""
+    return 0 if text.isascii() else 1 if beyond_basic(text) is None else 2
 
 
 def lowered(text: str, capitals: dict[int, str], has_capital) -> str:
@@ -263,32 +279,38 @@ def lowered(text: str, capitals: dict[int, str], has_capital) -> str:
 def encoder(tables_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger(tables_bc.value)
-        names, special, words_of = merger.names, merger.special, re.compile(merger.pattern).findall
-        capitals = merger.capitals
-        has_capital = re.compile(f"[{''.join(map(chr, capitals)) or '^\\0-\U0010ffff'}]").search
+        names, special, capitals = merger.names, merger.special, merger.capitals
+        finders = [re.compile(p).findall for p in merger.patterns]
+        marks = [re.compile(f"[{''.join(chr(c) for c in capitals if c < end) or NOTHING}]").search for end in PLANES]
         cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        memo: dict[str, tuple[bytes, bytes]] = {}
+        ids_of: dict[str, bytes] = {}
+        tokens_of: dict[str, bytes] = {}
+
+        def words_of(text: str) -> list[str]:
+            text = lowered(text, capitals, marks[plane_of(text)])
+            return finders[plane_of(text)](text)
+
         for piece in slices(batches):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
+            if len(ids_of) > MEMO_WORDS:
+                ids_of, tokens_of = {}, {}
             for token, i in special.items():
-                memo[token] = (np.array([i], "<u4").tobytes(), token.encode())
+                ids_of[token], tokens_of[token] = np.array([i], "<u4").tobytes(), token.encode()
             docs = []
             for raw in piece.column("text").to_pylist():
                 text = raw.decode("utf-8", "replace")
-                if cut is not None and any(s in text for s in special):
-                    docs.append([w for part in cut.split(text) for w in ([part] if part in special else words_of(lowered(part, capitals, has_capital)))])
+                if cut is not None and cut.search(text):
+                    docs.append([w for part in cut.split(text) for w in ([part] if part in special else words_of(part))])
                 else:
-                    docs.append(words_of(lowered(text, capitals, has_capital)))
-            new = list(set().union(*docs).difference(memo))
+                    docs.append(words_of(text))
+            new = list(set().union(*docs).difference(ids_of))
             for w, ids in zip(new, merger.merge([w.encode() for w in new]), strict=True):
-                memo[w] = (ids, b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()]))
-            got = [[memo[w] for w in doc] for doc in docs]
+                ids_of[w] = ids
+                tokens_of[w] = names[int.from_bytes(ids, "little")] if len(ids) == 4 else b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id"),
-                    pa.array([b"".join([g[0] for g in doc]) for doc in got], pa.binary()),
-                    pa.array([b" ".join([g[1] for g in doc]) for doc in got], pa.binary()).cast(pa.string()),
+                    pa.array([b"".join(map(ids_of.__getitem__, doc)) for doc in docs], pa.binary()),
+                    pa.array([b" ".join(map(tokens_of.__getitem__, doc)) for doc in docs], pa.binary()).cast(pa.string()),
                 ],
                 ["doc_id", "ids", "decoded"],
             )

@@ -4,6 +4,9 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 is the sum over all ways to cut it into pieces of the product of their probabilities; a forward pass
 from left to right gives it. The probabilities are learned by expectation maximisation: a forward and a
 backward pass give the expected number of uses of every piece, from uniform ones at first.
+
+A trie over the letter pieces, of any length, finds all pieces in many words at once. Runs of letters are
+never cut: every sixteen letters the passes scale their sums and keep the logarithm of the scale.
 """
 
 from __future__ import annotations
@@ -21,137 +24,168 @@ from pyspark.sql import functions as F
 from .bpe import pair_hash, slots
 from .common import id_and_bytes, slices
 
-#: Letters of the longest piece; a key packs that many 12-bit letter numbers into 60 bits.
-LONGEST = 5
-#: Longer runs of letters are scored in parts of this many letters.
-WORD_LETTERS = 32
+#: Letters after which a pass scales its sums.
+SCALED = 16
+#: Letters (with padding) that a pass takes at once; bounds its arrays.
+PASS_LETTERS = 1 << 18
 #: Probability of a letter that the vocabulary lacks, alike in all languages.
 UNKNOWN = 1e-9
 MEMO_WORDS = 250_000
 #: Training reads the whole texts of at most so many labelled documents of a language.
 TRAIN_DOCS = 400
+#: Parts in which the rows of a language are ranked for the sample.
+PARTS = 256
 EM_ROUNDS = 4
 
 
 def read_pieces(path: str) -> list[str]:
-    """The lower-cased letter pieces, of up to five letters, of a sentencepiece vocabulary."""
+    """The lower-cased letter pieces of a sentencepiece vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).strip("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if 0 < len(p) <= LONGEST and p.isalpha())
+    return sorted(p for p in found if p.isalpha())
 
 
 class Lattice:
-    """Piece numbers of all substrings of words, and passes over them for all languages at once."""
+    """A trie of pieces, and passes over all pieces of many words for all languages at once."""
 
     def __init__(self, pieces: list[str]):
-        letters = sorted({c for p in pieces for c in p})[:4094]
-        self.number = {c: i + 1 for i, c in enumerate(letters)}
-        known = [p for p in pieces if all(c in self.number for c in p)]
-        self.index = {p: i for i, p in enumerate(known)}
-        keys = np.array([self.key(p) for p in known], np.int64)
-        self.hash = pair_hash(keys, np.arange(len(keys), dtype=np.int32), bits=17)
-        self.unknown, self.none = len(known), len(known) + 1
-
-    def key(self, piece: str) -> int:
-        key = 0
-        for c in piece:
-            key = key << 12 | self.number[c]
-        return key
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
+        self.index = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        self.unknown = len(pieces)
+        child: dict[int, int] = {}
+        piece_of = [-1]
+        for piece, number in self.index.items():
+            node = 0
+            for c in piece:
+                key = node << 21 | ord(c)
+                if (below := child.get(key)) is None:
+                    below = child[key] = len(piece_of)
+                    piece_of.append(-1)
+                node = below
+            piece_of[node] = number
+        self.piece_of = np.array(piece_of, np.int64)
+        keys = np.fromiter(child, np.int64, len(child))
+        self.hash = pair_hash(keys, np.fromiter(child.values(), np.int32, len(child)), bits=max(4, (2 * len(child)).bit_length()))
+
+    def below(self, keys: np.ndarray) -> np.ndarray:
+        """The trie node for each key (node and letter), or -1."""
         table, bits = self.hash, self.hash["bits"]
-        flat = keys.ravel()
-        slot = slots(flat, bits)
-        out = np.full(len(flat), self.none, np.int64)
-        left = np.arange(len(flat))
+        slot, out, left = slots(keys, bits), np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for probe in range(table["probes"]):
             s = (slot[left] + probe) & ((1 << bits) - 1)
-            hit = table["keys"][s] == flat[left]
+            hit = table["keys"][s] == keys[left]
             out[left[hit]] = table["ranks"][s[hit]]
             left = left[~hit & (table["keys"][s] >= 0)]
             if not len(left):
                 break
-        return out.reshape(keys.shape)
-
-    def substrings(self, words: list[str], width: int) -> list[np.ndarray]:
-        """For each length, the piece that starts at each place of each word."""
-        text = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32)
-        uniq, back = np.unique(text, return_inverse=True)
-        # \0 pads; 4095 stands for letters that the vocabulary lacks
-        numbers = np.array([0 if c == 0 else self.number.get(chr(c), 4095) for c in uniq.tolist()], np.int64)
-        codes = numbers[back].reshape(len(words), width)
-        out, keys = [], codes
-        for length in range(1, min(LONGEST, width) + 1):
-            keys = codes if length == 1 else keys[:, :-1] << 12 | codes[:, length - 1 :]
-            ids = self.find(keys)
-            if length == 1:
-                ids[(ids == self.none) & (codes > 0)] = self.unknown
-            out.append(ids)
         return out
 
-    def forward(self, subs: list[np.ndarray], probs: np.ndarray, width: int) -> np.ndarray:
-        alpha = np.zeros((width + 1, len(subs[0]), probs.shape[1]))
-        alpha[0] = 1
-        for i in range(1, width + 1):
-            for length in range(1, min(len(subs), i) + 1):
-                alpha[i] += alpha[i - length] * probs[subs[length - 1][:, i - length]]
-        return alpha
-
-    def backward(self, subs: list[np.ndarray], probs: np.ndarray, width: int, lengths: np.ndarray) -> np.ndarray:
-        beta = np.zeros((width + 1, len(lengths), probs.shape[1]))
-        for i in range(width, -1, -1):
-            beta[i][lengths == i] = 1
-            for length in range(1, min(len(subs), width - i) + 1):
-                beta[i] += probs[subs[length - 1][:, i]] * beta[i + length]
-        return beta
+    def found(self, words: list[str], width: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Groups (start, end, words, pieces) of all pieces in words, by end; a letter that is no piece is unknown."""
+        codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width).astype(np.int64)
+        row, at = np.nonzero(codes)
+        node, hits = np.zeros(len(row), np.int64), []
+        for length in range(1, min(self.longest, width) + 1):
+            key = node << 21 | codes[row, at + length - 1]
+            node = self.below(key)
+            piece = np.where(node >= 0, self.piece_of[node], -1)
+            if length == 1:
+                piece = np.where(piece < 0, self.unknown, piece)
+            hit = piece >= 0
+            hits.append(np.stack([at[hit] + length, at[hit], row[hit], piece[hit]]))
+            go = (node >= 0) & (at + length < width)
+            row, at, node = row[go], at[go], node[go]
+            inside = codes[row, at + length] > 0 if len(row) else go[:0]
+            row, at, node = row[inside], at[inside], node[inside]
+        end, start, row, piece = np.concatenate(hits, axis=1)
+        group = end * (width + 1) + start
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        return [(int(start[g[0]]), int(end[g[0]]), row[g], piece[g]) for g in np.split(order, cuts) if len(g)]
+
+    def scaled(self, sums: np.ndarray, scale: np.ndarray, low: int, high: int) -> None:
+        """Bring the sums that later steps read to a largest one of 1."""
+        most = sums[low:high].max(axis=0)
+        most[most == 0] = 1
+        sums[low:high] /= most
+        scale[low:high] += np.log(most)
+
+    def forward(self, groups: list, n: int, probs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of each word, the sum over all segmentations up to it, and the logarithm of its scale."""
+        sums, scale = np.zeros((width + 1, n, probs.shape[1])), np.zeros((width + 1, n, probs.shape[1]))
+        sums[0], done = 1, 0
+        for start, end, row, piece in groups:
+            if end > done and end > SCALED and (end - 1) % SCALED == 0:
+                self.scaled(sums, scale, max(0, end - self.longest), end)
+                scale[end:] = scale[end - 1]
+            done = end
+            sums[end, row] += sums[start, row] * probs[piece]
+        return sums, scale
+
+    def backward(self, groups: list, lengths: np.ndarray, probs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(lengths)
+        sums, scale = np.zeros((width + 1, n, probs.shape[1])), np.zeros((width + 1, n, probs.shape[1]))
+        sums[lengths, np.arange(n)], done = 1, width
+        for start, end, row, piece in sorted(groups, key=lambda g: (-g[0], g[1])):
+            if start < done and (start + 1) % SCALED == 0:
+                # words that end further left have not begun: their scale stays 0
+                self.scaled(sums, scale, start + 1, min(width, start + self.longest) + 1)
+                scale[: start + 1] = np.where(lengths[None, :, None] > start, scale[start + 1][None], 0)
+            done = start
+            sums[start, row] += probs[piece] * sums[end, row]
+        return sums, scale
 
     def log_likelihood(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), probs.shape[1]))
         for rows, width, lengths in by_width(words):
-            alpha = self.forward(self.substrings([words[i] for i in rows], width), probs, width)
-            out[rows] = np.log(np.maximum(alpha[lengths, np.arange(len(rows))], 1e-300))
+            sums, scale = self.forward(self.found([words[i] for i in rows], width), len(rows), probs, width)
+            each = np.arange(len(rows))
+            out[rows] = np.log(sums[lengths, each]) + scale[lengths, each]
         return out
 
     def train(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Piece probabilities of each language, the last two rows for unknown letters and no piece."""
+        """Piece probabilities of each language; the last row is for unknown letters."""
         langs = counts.shape[1]
-        probs = np.full((self.none + 1, langs), 1.0 / max(1, self.unknown))
-        probs[self.unknown], probs[self.none] = UNKNOWN, 0
+        probs = np.full((self.unknown + 1, langs), 1.0 / max(1, self.unknown))
+        probs[self.unknown] = UNKNOWN
         for _ in range(EM_ROUNDS):
-            used = np.full((self.none + 1, langs), 0.01)
+            used = np.full((self.unknown + 1, langs), 0.01)
             for rows, width, lengths in by_width(words):
-                subs = self.substrings([words[i] for i in rows], width)
-                alpha, beta = self.forward(subs, probs, width), self.backward(subs, probs, width, lengths)
-                weight = counts[rows] / np.maximum(beta[0], 1e-300)
-                for length, ids in enumerate(subs, 1):
-                    for i in range(ids.shape[1]):
-                        share = alpha[i] * probs[ids[:, i]] * beta[i + length] * weight
-                        for k in range(langs):
-                            used[:, k] += np.bincount(ids[:, i], share[:, k], len(used))
+                groups = self.found([words[i] for i in rows], width)
+                (alpha, up), (beta, down) = self.forward(groups, len(rows), probs, width), self.backward(groups, lengths, probs, width)
+                each = np.arange(len(rows))
+                whole = np.log(alpha[lengths, each]) + up[lengths, each]
+                for start, end, row, piece in groups:
+                    share = alpha[start, row] * probs[piece] * beta[end, row] * np.exp(up[start, row] + down[end, row] - whole[row]) * counts[rows[row]]
+                    for k in range(langs):
+                        used[:, k] += np.bincount(piece, share[:, k], len(used))
             probs[: self.unknown] = used[: self.unknown] / used[: self.unknown].sum(axis=0)
         return probs
 
 
 def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    lengths, low = np.array([len(w) for w in words], np.int64), 0
-    for width in (4, 8, 12, 16, 24, WORD_LETTERS):
-        rows = np.flatnonzero((lengths > low) & (lengths <= width))
-        for at in range(0, len(rows), 16384):
-            part = rows[at : at + 16384]
-            yield part, width, lengths[part]
-        low = width
+    """Words of about one length in parts, each as wide as its longest word."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    at = int(np.searchsorted(lengths[order], 1))
+    while at < len(order):
+        width = int(lengths[order[at]])
+        upto = int(np.searchsorted(lengths[order], max(width + 3, width * 9 // 8), side="right"))
+        upto = min(upto, at + max(1, PASS_LETTERS // int(lengths[order[upto - 1]])))
+        part = order[at:upto]
+        yield part, int(lengths[part[-1]]), lengths[part]
+        at = upto
 
 
 find_words = re.compile(r"[^\W\d_]+").findall
 
 
-def letter_parts(word: str) -> list[str]:
-    """A run of letters, in parts that a forward pass takes; signs such as a raised two are no letters."""
-    if not word.isalpha():
-        word = "".join(filter(str.isalpha, word))
-    return [word[i : i + WORD_LETTERS] for i in range(0, len(word), WORD_LETTERS)]
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text; signs such as a raised two are no letters."""
+    words = find_words(text.lower())
+    return words if text.isascii() else [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +193,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for lang, raw in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist(), strict=True):
             own = counts.setdefault(lang, Counter())
-            for word, n in Counter(find_words(raw.decode("utf-8", "replace").lower())).items():
-                for part in letter_parts(word):
-                    own[part] += n
+            own.update(letters(raw.decode("utf-8", "replace")))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         columns = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
@@ -173,11 +205,12 @@ def train(df: DataFrame, vocabulary_path: str, per_language: int = TRAIN_DOCS) -
     ``df`` has doc_id, text and lang; rows without lang are no examples. The whole texts of the sample
     count; its words, with their numbers, are what reaches the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        df.select("doc_id", "lang").filter("lang is not null and doc_id is not null").distinct()
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("doc_id", "lang")
-    )
+    chosen = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).filter("lang is not null and doc_id is not null").distinct()
+    # by language and part first, so that no task ranks all rows of one language
+    for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+    chosen = chosen.select("doc_id", "lang")
     texts = df.select("doc_id", "lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     # at most per_language ids of each language, so the hint has a fixed bound
     sample = texts.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
@@ -200,15 +233,10 @@ def predictor(model_bc):
         for piece in slices(batches):
             if len(memo) > MEMO_WORDS:
                 memo, scores = {}, scores[:0]
-            docs = [find_words(raw.decode("utf-8", "replace").lower()) for raw in piece.column("text").to_pylist()]
+            docs = [letters(raw.decode("utf-8", "replace")) for raw in piece.column("text").to_pylist()]
             new = list(set().union(*docs).difference(memo))
             if new and langs:
-                parts = [letter_parts(w) for w in new]
-                owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
-                flat = [p for ps in parts for p in ps]
-                own = np.zeros((len(new), len(langs) + 1))
-                np.add.at(own[:, :-1], owner, lattice.log_likelihood(flat, probs))
-                np.add.at(own[:, -1], owner, [len(p) for p in flat])
+                own = np.column_stack([lattice.log_likelihood(new, probs), [len(w) for w in new]])
                 memo |= {w: len(scores) + i for i, w in enumerate(new)}
                 scores = np.concatenate([scores, own])
             pred, score, fit = [], [], []
@@ -230,8 +258,8 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """Predict the language of each row's whole text.
 
     Returns a row per input row: the id, ``lang_pred``, ``score`` (the language's share of the
-    likelihood, all languages being equally likely beforehand) and ``log_per_letter``. A null or empty
-    text, one without letters, and any text when nothing was learned give ``und`` and 0. Of languages
+    likelihood, all languages being equally likely beforehand) and ``log_per_letter``. Texts and runs
+    of letters of any length are read whole. An empty table gives no rows. A null or empty text, one without letters, and any text when nothing was learned give ``und`` and 0. Of languages
     with equal likelihood the first by name wins. A null id stays null; repeated rows repeat.
     """
     kind = df.schema[id_col].dataType.simpleString()

@@ -89,6 +89,6 @@ def test_rows_without_leaks_by_their_own_text(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (None, "clean text a b c"), (5, item)], "item_id long, text string")
     want = sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
     for block_bytes in (1 << 20, 60):
-        assert sorted(map(tuple, without_leaks(df, bench, block_bytes=block_bytes).collect()), key=str) == want
-    assert without_leaks(df, bench.filter("false")).count() == len(rows)
-    assert without_leaks(df.filter("false"), bench).count() == 0
+        assert sorted(map(tuple, dec.without_leaks(df, bench, block_bytes=block_bytes).collect()), key=str) == want
+    assert dec.without_leaks(df, bench.filter("false")).count() == len(rows)
+    assert dec.without_leaks(df.filter("false"), bench).count() == 0

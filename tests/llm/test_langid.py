@@ -12,8 +12,7 @@ def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "ba", "aba", "bb"]
     lattice = langid.Lattice(pieces)
     rnd = np.random.default_rng(1)
-    probs = rnd.random((lattice.none + 1, 2))
-    probs[lattice.none] = 0
+    probs = rnd.random((lattice.unknown + 1, 2))
 
     def brute(word, k):
         if not word:
@@ -52,3 +51,55 @@ def test_odd_rows(spark):
     empty = df.filter("false")
     assert langid.identify(empty, PATH).count() == 0
     assert {r.lang_pred for r in langid.predict(df, langid.train(empty, PATH)).collect()} == {"und"}
+
+
+def test_whole_vocabulary_and_whole_words():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    every = {model.id_to_piece(i).strip("▁").lower() for i in range(model.get_piece_size())}
+    lattice = langid.Lattice(langid.read_pieces(PATH))
+    assert set(lattice.index) == {p for p in every if p.isalpha()} and lattice.longest > 5
+
+    def brute(word, probs, k):
+        """Logarithm of the sum over all segmentations, by place, in whole fractions."""
+        from fractions import Fraction
+
+        sums = [Fraction(1)] + [Fraction(0)] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - lattice.longest), end):
+                piece = lattice.index.get(word[start:end], lattice.unknown if end - start == 1 else None)
+                if piece is not None:
+                    sums[end] += sums[start] * Fraction(float(probs[piece, k]))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    rnd = np.random.default_rng(3)
+    probs = rnd.random((lattice.unknown + 1, 2)) / 1000
+    words = ["information" * 9, "international", "x", "\U0001e900" * 50, "über" * 20 + "一" * 40 + "straße", "a" * 33]
+    got = lattice.log_likelihood(words, probs)
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row, [brute(w, probs, k) for k in range(2)], rtol=1e-9), w
+    # a word of many letters keeps finite sums, and training counts each of its segmentations
+    assert np.isfinite(lattice.log_likelihood(["q" * 20000], probs)).all()
+
+
+def test_expected_uses_against_all_segmentations():
+    lattice = langid.Lattice(["a", "b", "ab", "ba", "aba", "abab", "bbbbbb"])
+    words = ["abab", "b" * 7, "ab" * 21, "z", "ba" * 3 + "z"]
+    counts = np.array([[3.0], [1.0], [2.0], [1.0], [5.0]])
+    probs = np.full(lattice.unknown + 1, 1 / lattice.unknown)
+    probs[lattice.unknown] = langid.UNKNOWN
+    for _ in range(langid.EM_ROUNDS):
+        used = np.full(lattice.unknown + 1, 0.01)
+        for word, n in zip(words, counts[:, 0], strict=True):
+            edges = [(i, j, lattice.index.get(word[i:j], lattice.unknown if j == i + 1 else None)) for i in range(len(word)) for j in range(i + 1, len(word) + 1)]
+            edges = [e for e in edges if e[2] is not None]
+            up, down = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+            for i, j, p in sorted(edges, key=lambda e: e[1]):
+                up[j] += up[i] * probs[p]
+            for i, j, p in sorted(edges, key=lambda e: -e[0]):
+                down[i] += probs[p] * down[j]
+            for i, j, p in edges:
+                used[p] += n * up[i] * probs[p] * down[j] / up[-1]
+        probs[: lattice.unknown] = used[: lattice.unknown] / used[: lattice.unknown].sum()
+    assert np.allclose(lattice.train(words, counts)[:, 0], probs)

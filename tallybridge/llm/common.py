@@ -6,6 +6,7 @@ extra columns with any names are harmless. A null text counts as the empty text.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -82,6 +83,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks_for(rows: int, rows_per_task: int = 250_000) -> int:
     """So many tasks for a table of small rows; few rows in many tasks cost more files than data."""
     return max(1, -(-rows // rows_per_task))

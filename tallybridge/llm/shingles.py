@@ -31,13 +31,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of an array of bytes start and end."""
+    word = np.concatenate([[False], ~BLANK[raw], [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of bytes that are no white space, A-Z in lower case), and for each
     text where its words start in that list (one more entry than texts)."""
     raw = np.frombuffer(b"\n".join([t.translate(LOWER) for t in texts]) + b"\n", np.uint8)
-    word = np.concatenate([[False], ~BLANK[raw], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    starts, ends = word_bounds(raw)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * powers(BASE, len(raw))[:-1], dtype=np.uint64)])
     hashes = mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(raw))[starts])
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])

@@ -6,8 +6,12 @@ repeated keys. Counts are bigint and amounts decimal(38,2) in both dialects.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from tallybridge.functions.exact import exact_session, magnitude
 from tallybridge.operators import alignment, breakdowns, fields, populations, rules
 from tallybridge.operators.alignment import Metric
 from tallybridge.operators.fields import Field
+from tallybridge.plans.diagnose import validate
+from tallybridge.plans.investigate import investigate
+from tallybridge.sources.snapshots import read_snapshot
 
 ORDERS_REFERENCE = """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status, nullif(o_orderpriority, '5-LOW') AS priority,
@@ -56,6 +63,12 @@ def aligned(spark: SparkSession, sf_dir: str, metrics: list[Metric] | None = Non
     return alignment.align(*snapshots(spark, sf_dir), ["order_id"], metrics or [AMOUNT], DIMENSIONS, [f.name for f in FIELDS])
 
 
+def by_side(spark: SparkSession, sf_dir: str, indices: list[int], shown: int | None = None) -> DataFrame:
+    """A breakdown by these of DIMENSIONS; totals by category need no join of the sides."""
+    groups = breakdowns.breakdown_of_sides(*snapshots(spark, sf_dir), AMOUNT, [DIMENSIONS[i] for i in indices])
+    return groups if shown is None else breakdowns.shown_groups(groups, AMOUNT, len(indices), shown)
+
+
 CTE = f"""WITH reference AS ({ORDERS_REFERENCE.format(**DUCK_WORDS)}), current AS ({ORDERS_CURRENT.format(**DUCK_WORDS)}),
 joined AS (
   SELECT r.order_id IS NOT NULL AS rp, c.order_id IS NOT NULL AS cp, coalesce(r.order_id, c.order_id) AS k0, r.amount AS rv, c.amount AS cv,
@@ -162,7 +175,7 @@ def breakdown_sql(columns: list[str], order: str, shown: int | None = 50) -> str
 
 @query(breakdown_sql(["status"], "g0 NULLS FIRST"))
 def breakdown_single(spark, sf_dir):
-    return breakdowns.shown_breakdown(aligned(spark, sf_dir), AMOUNT, [0])
+    return by_side(spark, sf_dir, [0], 50)
 
 
 @query(breakdown_sql(["priority"], "g0 NULLS FIRST", None))
@@ -172,17 +185,17 @@ def breakdown_null_category(spark, sf_dir):
 
 @query(breakdown_sql(["status", "priority"], "g0 NULLS LAST, g1 NULLS LAST"))
 def breakdown_combined(spark, sf_dir):
-    return breakdowns.shown_breakdown(aligned(spark, sf_dir), AMOUNT, [0, 2])
+    return by_side(spark, sf_dir, [0, 2], 50)
 
 
 @query(breakdown_sql(["customer_id"], "g0 NULLS FIRST"))
 def breakdown_top50_other(spark, sf_dir):
-    return breakdowns.shown_breakdown(aligned(spark, sf_dir), AMOUNT, [1])
+    return by_side(spark, sf_dir, [1], 50)
 
 
 @query(breakdown_sql(["customer_id"], "", None).rsplit(" SELECT ", 1)[0] + " SELECT CAST(sum(contribution) AS DECIMAL(38,2)) AS contribution, CAST(sum(abs(contribution)) AS DECIMAL(38,2)) AS size FROM groups")
 def breakdown_identity(spark, sf_dir):
-    groups = breakdowns.breakdown(aligned(spark, sf_dir), AMOUNT, [1])
+    groups = by_side(spark, sf_dir, [1])
     size = F.sum(magnitude(F.col("contribution"), AMOUNT.dtype)).cast(MONEY).alias("size")
     return groups.agg(F.sum("contribution").cast(MONEY).alias("contribution"), size)
 
@@ -404,3 +417,89 @@ def rule_evidence_segment(spark, sf_dir):
     rule = {"name": "few leave", "metric": "amount", "measure": "removed_percent", "max": 20}
     failed = rules.judged_segments(rules.segments(frame, AMOUNT, [1]), rule, 1).filter("status <> 'passed'")
     return rules.segment_evidence(frame, failed, [1], "removed_percent").select("k0", "rd1", "cd1")
+
+
+# --- sources and life cycle ---------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> Path:
+    """A new folder below the one that the session shares, or in local sessions without one a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = Path(shared.removeprefix("file://"), f"snapshot-{uuid.uuid4().hex}") if shared else Path(tempfile.mkdtemp(prefix="snapshot-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    return folder
+
+
+@query("SELECT o_orderkey AS order_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, o_orderkey % 2 = 0 AS even FROM orders")
+def source_csv_typed(spark, sf_dir):
+    rows = view(spark, sf_dir, "orders", "SELECT o_orderkey AS order_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS amount, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM orders")
+    path = scratch(spark) / "rows"
+    rows.write.csv(str(path), header=True, sep=";")
+    return read_snapshot(spark, str(path), {"delimiter": ";", "header": True, "types": {"order_id": "BIGINT", "amount": "DECIMAL(18,2)"}}).rows
+
+
+@query("SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+def source_csv_sniffed(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_nationkey AS nation", "c_mktsegment AS segment")
+    path = scratch(spark) / "rows"
+    rows.write.csv(str(path), header=True, sep="|")
+    found = read_snapshot(spark, str(path)).rows
+    return found.select(F.col("c_custkey").cast("long"), F.col("nation").cast("int"), "segment")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_returnflag AS flag FROM lineitem")
+def source_hive_folders(spark, sf_dir):
+    folder = scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS quantity", "l_returnflag AS flag")
+    folder = folder / "rows"
+    rows.write.partitionBy("flag").parquet(str(folder))
+    return read_snapshot(spark, str(folder)).rows.select("l_orderkey", "l_linenumber", "quantity", "flag")
+
+
+@query("SELECT o_custkey AS order_id, o_orderkey AS customer_id, o_orderstatus AS status FROM orders")
+def source_renamed(spark, sf_dir):
+    return read_snapshot(spark, f"{sf_dir}/orders.parquet", mapping={"o_orderkey": "customer_id", "o_custkey": "order_id", "o_orderstatus": "status"}).rows.select("order_id", "customer_id", "status")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS file, count(*) AS rows FROM region UNION ALL SELECT 1, count(*) FROM region")
+def source_file_counts(spark, sf_dir):
+    profile = read_snapshot(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/region.parquet"]).profile
+    return spark.createDataFrame([(i, f["rows"]) for i, f in enumerate(profile["files"])], "file long, rows long")
+
+
+def settings(folder: Path, **more: object) -> Path:
+    """A configuration of the orders pair, which stands as Parquet files in ``folder``."""
+    base = {"mode": "snapshots", "reference": "reference", "current": "current", "key": ["order_id"], "metric": {"name": "amount", "aggregate": "sum", "column": "amount", "null_policy": "error"}}
+    (folder / "settings.yaml").write_text(json.dumps(base | more))
+    return folder / "settings.yaml"
+
+
+def pair_files(spark: SparkSession, sf_dir: str) -> Path:
+    folder = scratch(spark)
+    for name, rows in zip(("reference", "current"), snapshots(spark, sf_dir), strict=True):
+        rows.select("order_id", "amount", "amount_f", "status", "priority").write.parquet(str(folder / name))
+    return folder
+
+
+@query(CTE + "SELECT count(*) FILTER (WHERE NOT rp) AS added_rows, count(*) FILTER (WHERE NOT cp) AS removed_rows, count(*) FILTER (WHERE rp AND cp) AS matched_rows, CAST(sum(rv) AS DECIMAL(38,2)) AS reference_total, CAST(sum(cv) AS DECIMAL(38,2)) AS current_total FROM joined")
+def investigation_run(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    found = investigate(spark, settings(folder, dimensions=["status"]), folder / "out")["summary"]
+    names = ("added_rows", "removed_rows", "matched_rows", "reference_total", "current_total")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} {'long' if n.endswith('rows') else 'decimal(38,2)'}" for n in names))
+
+
+@query(CTE + "SELECT 'removed_percent' AS measure, CASE WHEN 100 * count(*) FILTER (WHERE NOT cp) > 20 * count(*) FILTER (WHERE rp) THEN 'failed' ELSE 'passed' END AS status FROM joined UNION ALL SELECT 'delta', CASE WHEN sum(cv) - sum(rv) > 1 THEN 'failed' ELSE 'passed' END FROM joined")
+def investigation_rules(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    listed = [{"name": "few go", "metric": "amount", "measure": "removed_percent", "max": 20}, {"name": "level", "metric": "amount", "measure": "delta", "max": 1}]
+    found = investigate(spark, settings(folder, rules=listed), folder / "out")["rule_checks"]["results"]
+    return spark.createDataFrame([(r["measure"], r["status"]) for r in found], "measure string, status string")
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS null_key FROM orders WHERE o_orderkey % 10 <> 7")
+def validation_run(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    found = validate(spark, settings(folder, key=["order_id", "priority"]), folder / "out")["checks"]
+    counts = [c["details"]["affected_rows"] for c in found if (c["side"], c["check"]) == ("reference", "null_key")]
+    return spark.createDataFrame([(n,) for n in counts], "null_key long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybridge.functions.exact import differs, magnitude, typed
+from tallybridge.functions.exact import differs, magnitude, named, typed
 from tallybridge.operators.alignment import Metric, any_moved, matched, total
 
 SHOWN = 50
@@ -24,19 +24,37 @@ def category_order(columns: list[str], width: int) -> list[Column]:
 def breakdown(aligned: DataFrame, metric: Metric, indices: list[int], metric_index: int = 0) -> DataFrame:
     """Rows, totals and contribution of each category, each side by its own membership.
 
-    One aggregation over both sides' memberships; a join of two aggregates is not needed.
+    One pass over the aligned rows and one aggregation; each row gives its membership of either side.
     """
     i, t = metric_index, metric.dtype
-    cats = [f"g{n}" for n in range(len(indices))]
-    side = lambda s: aligned.filter(F.col(f"{s}p").isNotNull()).select(
-        *[F.col(f"{s}d{j}").alias(g) for g, j in zip(cats, indices, strict=True)],
-        F.lit(int(s == "r")).cast("long").alias("rn"), F.lit(int(s == "c")).cast("long").alias("cn"),
-        *[(F.col(f"{s}v{i}") if x == s else typed(0, t)).alias(f"{x}t") for x in "rc"],
-    )
-    sums = side("r").unionByName(side("c")).groupBy(*cats).agg(F.sum("rn").alias("reference_rows"), F.sum("cn").alias("current_rows"), F.sum("rt").cast(t).alias("reference_total"), F.sum("ct").cast(t).alias("current_total"))
+    cats, long = [f"g{n}" for n in range(len(indices))], F.lit(1).cast("long")
+
+    def membership(side: str) -> Column:
+        own = [F.col(f"{side}d{j}").alias(g) for g, j in zip(cats, indices, strict=True)]
+        here = lambda x, value, none: (value if x == side else none).alias
+        return F.struct(F.col(f"{side}p").isNotNull().alias("present"), *own, *[here(x, long, long - 1)(f"{x}n") for x in "rc"], *[here(x, F.col(f"{side}v{i}").cast(t), typed(0, t))(f"{x}t") for x in "rc"])
+
+    return summed(aligned.select(F.inline(F.array(membership("r"), membership("c")))).filter("present"), cats, metric)
+
+
+def summed(memberships: DataFrame, categories: list[str], metric: Metric) -> DataFrame:
+    """Rows, totals and contribution by category, of rows with rn, cn, rt and ct."""
+    t = metric.dtype
+    sums = memberships.groupBy(*categories).agg(F.sum("rn").alias("reference_rows"), F.sum("cn").alias("current_rows"), F.sum("rt").cast(t).alias("reference_total"), F.sum("ct").cast(t).alias("current_total"))
     return sums.withColumn("contribution", (F.col("current_total") - F.col("reference_total")).cast(t))
 
 
+def breakdown_of_sides(reference: DataFrame, current: DataFrame, metric: Metric, dimensions: list[str]) -> DataFrame:
+    """The same as :func:`breakdown`, from the two sides as they are: each is grouped alone, without a join."""
+    cats, t = [f"g{n}" for n in range(len(dimensions))], metric.dtype
+
+    def grouped(side: DataFrame, name: str) -> DataFrame:
+        groups = side.groupBy(*[named(d).alias(g) for g, d in zip(cats, dimensions, strict=True)]).agg(F.count("*").alias("n"), F.sum(metric.value).cast(t).alias("t"))
+        return groups.select(*cats, *[(F.col("n") if x == name else F.lit(0).cast("long")).alias(f"{x}n") for x in "rc"], *[(F.col("t") if x == name else typed(0, t)).alias(f"{x}t") for x in "rc"])
+
+    return summed(grouped(reference, "r").unionByName(grouped(current, "c")), cats, metric)
+
+
 def ranked(groups: DataFrame, keys: list[str], order: list[Column], sums: list[str], shown: int = SHOWN) -> DataFrame:
     """The first ``shown`` groups in order, and one row is_other for all further ones (keys null), with rank."""
     top = groups.orderBy(*order).limit(shown)
@@ -52,9 +70,14 @@ def ranked(groups: DataFrame, keys: list[str], order: list[Column], sums: list[s
 
 def shown_breakdown(aligned: DataFrame, metric: Metric, indices: list[int], metric_index: int = 0, shown: int = SHOWN) -> DataFrame:
     """The breakdown's largest contributions, and the others as one row."""
-    cats = [f"g{n}" for n in range(len(indices))]
-    order = [F.desc(magnitude(F.col("contribution"), metric.dtype)), *category_order(cats, len(cats))]
-    return ranked(breakdown(aligned, metric, indices, metric_index), cats, order, ["reference_rows", "current_rows", "reference_total", "current_total", "contribution"], shown)
+    return shown_groups(breakdown(aligned, metric, indices, metric_index), metric, len(indices), shown)
+
+
+def shown_groups(groups: DataFrame, metric: Metric, width: int, shown: int = SHOWN) -> DataFrame:
+    """The largest contributions of a breakdown by ``width`` columns, and the others as one row."""
+    cats = [f"g{n}" for n in range(width)]
+    order = [F.desc(magnitude(F.col("contribution"), metric.dtype)), *category_order(cats, width)]
+    return ranked(groups, cats, order, ["reference_rows", "current_rows", "reference_total", "current_total", "contribution"], shown)
 
 
 def contribution_size(groups: DataFrame, metric: Metric) -> DataFrame:

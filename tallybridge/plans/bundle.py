@@ -30,7 +30,7 @@ def to_json(value: object) -> str:
     try:
         return json.dumps(value, default=plain, ensure_ascii=False, indent=2, allow_nan=False)
     except ValueError:
-        raise CompareError("Cannot serialize analysis: nonfinite result or numeric overflow") from None
+        raise CompareError("A result left the range of numbers (overflow, NaN or infinity) and cannot be written as JSON") from None
 
 
 def cell(value: object) -> object:
@@ -53,9 +53,9 @@ def prepare(out: str | Path, overwrite: bool, inputs: Iterable[str | list[str]]
     """The target directory, if it may be written and lies outside all inputs."""
     target = Path(out).resolve()
     if target.exists() and not target.is_dir():
-        raise CompareError("Output path is not a directory")
+        raise CompareError("The output path names a file; give a folder")
     if target.exists() and any(target.iterdir()) and not overwrite:
-        raise CompareError("Output directory already exists; choose another or pass overwrite")
+        raise CompareError("The output folder already exists and is not empty; name another, or allow overwriting")
     for source in inputs:
         for path in map(Path, source if isinstance(source, list) else [source]):
             path = path.resolve()

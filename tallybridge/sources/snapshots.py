@@ -141,9 +141,9 @@ def one_file(spark: SparkSession, path: str, folders: dict, options: dict) -> tu
     for name, value in folders.items():
         stored = [c for c in schema if c.lower() == name.lower()]
         if stored and stored != [name]:
-            raise CompareError("Hive partition conflicts with a stored column name in another case")
+            raise CompareError("A folder's column and a column in the file differ by case alone")
         if stored and not rows.filter(~named(name).cast("string").eqNullSafe(F.lit(value))).limit(1).isEmpty():
-            raise CompareError("Hive partition conflicts with a stored column; directory values must agree with every row in that file")
+            raise CompareError("A file stores its folder's column with another value than the folder's name has")
         rows = rows.withColumn(name, F.lit(value).cast("string"))
         schema[name] = "VARCHAR"
     return rows, schema, parsing
@@ -152,7 +152,7 @@ def one_file(spark: SparkSession, path: str, folders: dict, options: dict) -> tu
 def renamed(rows: DataFrame, schema: dict[str, str], mapping: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
     """All renames at once, so that names may be swapped."""
     if missing := [c for c in mapping if c not in schema]:
-        raise CompareError(f"column_mapping names unknown source columns {missing}")
+        raise CompareError(f"column_mapping renames columns that the files do not have: {missing}")
     names = {c: mapping.get(c, c) for c in schema}
     if len({n.lower() if n.isascii() else n for n in names.values()}) < len(names):
         raise CompareError("column_mapping collision with another column")
@@ -166,9 +166,9 @@ def read_snapshot(spark: SparkSession, source: str | list[str], csv_options: dic
     parts = [one_file(spark, path, folders, csv_options or {}) for path, folders in files]
     first = parts[0][1]
     if any(schema != first for _, schema, _ in parts):
-        raise CompareError("All files of a snapshot must have identical column names and types")
+        raise CompareError("The files of one snapshot disagree about column names or types")
     if len({c.lower() if c.isascii() else c for c in first}) < len(first):
-        raise CompareError("Column names must differ by more than case")
+        raise CompareError("Two columns of a snapshot differ by case alone")
     plain = all(not f and p.lower().endswith(".parquet") for p, f in files)
     rows = spark.read.parquet(*[spark_path(p) for p, _ in files]).select(*[named(c) for c in first]) if plain else parts[0][0]
     for other, _, _ in () if plain else parts[1:]:

@@ -22,19 +22,23 @@ CELLS = 64
 #: Exact vectors read at a time.
 READ = 64
 SCALE = 1024
+#: Scores beyond these stop there.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id and its vector as whole numbers floor(scale * x); odd vectors are left out.
 
-    Left out: null ids, null or empty vectors, and vectors that hold null, NaN or an infinity.
+    Left out: null ids, null or empty vectors, and vectors that hold null, NaN or an infinity. Components
+    beyond 2**62 stop there.
     """
+    top = float(1 << 62)
     x = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (v != float("inf")) & (v != float("-inf")))
     return (
         df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & finite)
-        .select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("long")).alias("v"))
+        .select("vec_id", F.transform("x", lambda v: F.floor(F.greatest(F.lit(-top), F.least(F.lit(top), v * float(scale)))).cast("long")).alias("v"))
     )
 
 
@@ -62,11 +66,11 @@ class Approximation:
         order = order[np.argsort(-upper[order], kind="stable")]
         found: list[tuple[int, int]] = []
         for at in range(0, len(order), READ):
-            if len(found) >= k and upper[order[at]] < -found[k - 1][0]:
+            if len(found) >= k and upper[order[at]] < -found[k - 1][0] < MOST:
                 break
             part = order[at : at + READ]
             exact = self.vectors[part] @ query
-            found = sorted(found + [(-int(s), int(i)) for s, i in zip(exact, ids[part], strict=True)])[:k]
+            found = sorted(found + [(-min(max(int(s), LEAST), MOST), int(i)) for s, i in zip(exact, ids[part], strict=True)])[:k]
         return [(-s, i) for s, i in found]
 
 
@@ -100,7 +104,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     Both have vec_id (whole number) and v (whole numbers). Returns query_id, rank (from 1), vec_id and
     score; of equal scores the smaller vec_id comes first; a query with fewer candidates gets all. A row
     with the query's own vec_id is no candidate, and only vectors with as many components are. Rows that
-    repeat an id and its vector count once. Empty tables give no rows.
+    repeat an id and its vector count once. Empty tables give no rows. Sums are exact; a score beyond the range of
+    a long stops at its end, and such ties go to the smaller vec_id as well.
     """
     vectors, queries = written(vectors.dropDuplicates(["vec_id", "v"])), written(queries.dropDuplicates(["vec_id", "v"]))
     dim = F.size("v")

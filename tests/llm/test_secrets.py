@@ -55,3 +55,26 @@ def test_gradients_are_right():
             down = loss()
             w[at] = old
             assert abs((up - down) / 2e-5 - grad[name][at]) < 1e-6, name
+
+
+def test_every_byte_of_a_candidate_is_seen():
+    rnd = np.random.default_rng(2)
+    for n in (5, 40, 41, 60, 61, 100, 333):
+        raw = bytes(rnd.integers(97, 123, n + 50, dtype=np.uint8))
+        seen = secrets.windows(raw, 30, 30 + n)
+        inside = [w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE].rstrip(b"\0") for w in seen]
+        assert all(len(w) == secrets.SEEN for w in seen)
+        assert {i for part in inside for i in range(raw.find(part, 30), raw.find(part, 30) + len(part))} == set(range(30, 30 + n))
+
+
+def test_words_in_any_finding_are_no_negatives():
+    raw = b" ".join(b"token=abcdefghijklmnop%d" % i for i in range(120)) + b" ordinaryword"
+    base = secrets.base_spans(raw)
+    assert len(base) == 120
+    assert [m[0] for m in secrets.untouched(re.finditer(rb"[A-Za-z]{10,}", raw), base)] == [b"ordinaryword"]
+
+
+def test_mask_keeps_null_rows(spark):
+    df = spark.createDataFrame([(1, None, 7), (2, "token = abcdef123456", 3), (3, "plain", 9)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask(df, secrets.train(df)).collect()}
+    assert got[1] == (None, 7) and got[3] == ("plain", 9) and got[2] == ("[secret]", 8)

@@ -33,3 +33,10 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in vafile.top_k(vectors, vectors.filter("vec_id % 100 = 0"), shard_rows=50, query_rows=3).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
     assert vafile.neighbours(df.filter("false")).count() == 0
+
+
+def test_huge_components(spark):
+    rows = [(100, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [1e300, -1e300]), (3, [-1e15, 0.0]), (4, [0.0, 0.5]), (5, [1e15, 0.0])]
+    got = [(r.rank, r.vec_id, r.score) for r in vafile.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(1, 1, top), (2, 2, top), (3, 5, top), (4, 4, 512 * 1024), (5, 3, -top - 1)]

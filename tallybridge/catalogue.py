@@ -438,13 +438,13 @@ def source_csv_typed(spark, sf_dir):
     return read_snapshot(spark, str(path), {"delimiter": ";", "header": True, "types": {"order_id": "BIGINT", "amount": "DECIMAL(18,2)"}}).rows
 
 
-@query("SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+@query("SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status FROM orders")
 def source_csv_sniffed(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_nationkey AS nation", "c_mktsegment AS segment")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS order_id", "o_custkey AS customer_id", "o_orderstatus AS status")
     path = scratch(spark) / "rows"
     rows.write.csv(str(path), header=True, sep="|")
     found = read_snapshot(spark, str(path)).rows
-    return found.select(F.col("c_custkey").cast("long"), F.col("nation").cast("int"), "segment")
+    return found.select(F.col("order_id").cast("long"), F.col("customer_id").cast("long"), "status")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_returnflag AS flag FROM lineitem")
@@ -461,9 +461,9 @@ def source_renamed(spark, sf_dir):
     return read_snapshot(spark, f"{sf_dir}/orders.parquet", mapping={"o_orderkey": "customer_id", "o_custkey": "order_id", "o_orderstatus": "status"}).rows.select("order_id", "customer_id", "status")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS file, count(*) AS rows FROM region UNION ALL SELECT 1, count(*) FROM region")
+@query("SELECT CAST(0 AS BIGINT) AS file, count(*) AS rows FROM orders UNION ALL SELECT 1, count(*) FROM orders")
 def source_file_counts(spark, sf_dir):
-    profile = read_snapshot(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/region.parquet"]).profile
+    profile = read_snapshot(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/orders.parquet"]).profile
     return spark.createDataFrame([(i, f["rows"]) for i, f in enumerate(profile["files"])], "file long, rows long")
 
 

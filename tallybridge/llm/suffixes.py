@@ -2,16 +2,18 @@
 
 Only some suffixes are sorted. A string of MATCH bytes holds MATCH - GRAM + 1 grams; the one with the least
 hash (the leftmost of equals) is its anchor, which depends on the string alone, so equal strings have
-their anchors at equal places. A suffix is kept for each anchor; its leading token is the gram there, the
-next token stands for all bytes that the strings with this anchor cover.
-
-Sampled splitters deal the suffixes out by leading token and, within a token, by place, so that one token
-of any frequency spreads over several buckets. Each bucket sorts its suffixes by multikey quicksort: by the
-first token, then only ties by the next, then by document and place. A suffix whose both tokens came before
-repeats all its strings. Suffixes that share the first token alone are compared string by string, and tokens
-that lie on a splitter are compared across buckets.
-
-Hashes have 64 bits; two different strings are taken for equal with a chance of about n * n / 2**65.
+their anchors at equal places. A suffix is kept for each anchor. Its leading tokens are the GRAM bytes there,
+as three words in the order of the text; the next two tokens are a 128-bit digest of all bytes that the strings
+with this anchor cover.
+
+Spark's sampled splitters range-partition the suffixes by leading tokens and, within these, by document, so that
+tokens of any frequency spread over several buckets. Each bucket sorts its suffixes by multikey quicksort.
+A suffix whose tokens all came before repeats all its strings. Suffixes that share the leading tokens alone
+are compared string by string, on bytes; a bucket's first and last leading tokens may go on in its
+neighbours and are compared across the border.
+
+Suffixes are equal when their leading bytes and the digest are: a wrong match among n suffixes has a chance
+of about n * n / 2**129, 1e-14 for the suffixes of 100 TB.
 """
 
 from __future__ import annotations
@@ -23,40 +25,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, written
+from .common import node_of, slices, written
 from .shingles import BASE, BYTE, INVERSE, mix, powers
 
 MATCH, GRAM = 100, 24
 GRAMS = MATCH - GRAM + 1
 #: Bytes hashed at a time; a longer document is cut into stretches whose strings overlap.
 STRETCH = 1 << 20
-#: Suffixes that a bucket should hold, suffixes sampled for each splitter, and least bytes of the sample.
-BUCKET_ROWS, SAMPLE_ROWS, SAMPLE_BYTES = 500_000, 40, 2 << 20
-#: Suffixes compared string by string in one task.
-COMPARED_ROWS = 50_000
+#: Suffixes that a bucket should hold.
+BUCKET_ROWS = 500_000
+#: Suffixes compared in one task; a context that more of them share is grouped by strings instead.
+COMPARED_ROWS = 25_000
 #: Strings that start up to here before their anchor share what follows it, the others what precedes it.
 HALF = 38
 NO_ID = (1 << 63) - 1
 
 
+_RND = np.random.default_rng(20240301)
+#: A second hash of its own bytes and base; with the first one it makes 128 bits.
+BYTE_2 = _RND.integers(1, 1 << 63, 256, dtype=np.uint64)
+BASE_2 = np.uint64(0xD1342543DE82EF95)
+INVERSE_2 = np.uint64(pow(int(BASE_2), -1, 1 << 64))
+TOKENS = ["a", "b", "c", "one", "two"]
+SUFFIX = ", ".join(f"{t} long" for t in [*TOKENS, "doc", "place"])
+
+
 class RangeHash:
     """Hashes of any stretch of a byte array, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * powers(BASE, len(raw))[:-1], dtype=np.uint64)])
-        self.back = powers(INVERSE, len(raw))
+    def __init__(self, raw: np.ndarray, table: np.ndarray = BYTE, base: np.uint64 = BASE, inverse: np.uint64 = INVERSE):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * powers(base, len(raw))[:-1], dtype=np.uint64)])
+        self.back = powers(inverse, len(raw))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
-def anchors(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all strings that start at ``first`` (rising): both tokens, place, first and last start."""
+def second_hash(raw: np.ndarray) -> RangeHash:
+    return RangeHash(raw, BYTE_2, BASE_2, INVERSE_2)
+
+
+def leading(raw: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The GRAM bytes from each place as whole numbers that sort as the bytes do."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, GRAM)[place]).view(">u8").astype(np.uint64)
+    return [np.ascontiguousarray(w) for w in (words ^ np.uint64(1 << 63)).view(np.int64).T]
+
+
+def anchors(raw: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all strings that start at ``first`` (rising): tokens, place, first and last start."""
     hashed = RangeHash(raw)
     at = np.arange(len(raw) - GRAM + 1)
     gram = mix((hashed.sums[GRAM:] - hashed.sums[:-GRAM]) * hashed.back[: len(at)])
     bits = np.uint64(max(1, len(at).bit_length()))
     least = ((gram >> bits) << bits) | at.astype(np.uint64)
+    del gram
     span = 1
     while 2 * span <= GRAMS:
         least = np.minimum(least[:-span], least[span:])
@@ -66,13 +88,13 @@ def anchors(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)]))
     last = np.concatenate([new[1:] - 1, [len(first) - 1]])
     place, low, high = place[new], first[new], first[last]
-    whole = hashed(low, high + MATCH)
-    second = mix(whole ^ (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (high - low).astype(np.uint64))
-    return gram[place], second, place, low, high
+    shape = (place - low).astype(np.uint64) << np.uint64(8) | (high - low).astype(np.uint64)
+    digest = [mix(h(low, high + MATCH) ^ shape * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for h in (hashed, second_hash(raw))]
+    return [*leading(raw, place), *digest], place, low, high
 
 
 def suffixes_of(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(first token, second token, document, packed place) of all anchors.
+    """(tokens, document, packed place) of all anchors.
 
     The packed place is place << 14 | (place - first start) << 7 | (place - last start).
     """
@@ -86,10 +108,10 @@ def suffixes_of(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
             lengths = np.array([len(t) for *_, t in group])
             at = np.concatenate([[0], np.cumsum(lengths)])
             first = np.concatenate([np.arange(a, a + n - MATCH + 1) for a, n in zip(at.tolist(), lengths.tolist(), strict=False)])
-            one, two, place, low, high = anchors(np.frombuffer(b"".join([t for *_, t in group]), np.uint8), first)
+            tokens, place, low, high = anchors(np.frombuffer(b"".join([t for *_, t in group]), np.uint8), first)
             owner = np.searchsorted(at, place, side="right") - 1
             shift = np.array([s for _, s, _ in group])[owner] - at[owner]
-            out.append((one.view(np.int64), two.view(np.int64), np.array([d for d, *_ in group], np.int64)[owner], (place + shift) << 14 | (place - low) << 7 | (place - high)))
+            out.append((*tokens, np.array([d for d, *_ in group], np.int64)[owner], (place + shift) << 14 | (place - low) << 7 | (place - high)))
         group.clear()
         held = 0
 
@@ -101,66 +123,74 @@ def suffixes_of(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
             if held >= STRETCH:
                 flush()
     flush()
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 7
 
-def dealing(splitters_bc):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, docs = splitters_bc.value
-        for piece in slices(batches):
-            one, two, doc, place = suffixes_of(piece.column("doc_id").to_numpy(), piece.column("text").to_pylist())
-            bucket = np.searchsorted(tokens, one, side="left")
-            on = np.flatnonzero(np.searchsorted(tokens, one, side="right") > bucket)
-            for token in np.unique(one[on]):
-                rows = on[one[on] == token]
-                a, b = np.searchsorted(tokens, token, side="left"), np.searchsorted(tokens, token, side="right")
-                bucket[rows] = a + np.searchsorted(docs[a:b], doc[rows], side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *map(pa.array, (one, two, doc, place))], ["bucket", "one", "two", "doc", "place"])
 
-    return run
+def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in slices(batches):
+        columns = suffixes_of(piece.column("doc_id").to_numpy(), piece.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*TOKENS, "doc", "place"])
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by several keys: quicksort on the first, then on the next within ties alone."""
-    order = np.argsort(columns[0])
-    tied = np.zeros(len(order), bool)
-    same = columns[0][order[1:]] == columns[0][order[:-1]]
-    for key in columns[1:]:
-        tied[:] = False
-        tied[1:] |= same
-        tied[:-1] |= same
-        rows = np.flatnonzero(tied)
-        if not len(rows):
-            break
-        run = np.cumsum(np.concatenate([[True], ~same]))[rows]
-        order[rows] = order[rows][np.lexsort((key[order[rows]], run))]
-        same = same & (key[order[1:]] == key[order[:-1]])
-    return order
-
-
-#: What became of a suffix: all its strings came before; some may have; it lies on a splitter.
-REPEATED, PARTLY, OPEN = 0, 1, 2
+    """The order of rows by several keys, by multikey quicksort.
 
+    Every open segment is split by the pivot of its current key into less, equal and greater rows; the equal
+    ones go on with the next key. All segments take a step together, so that a step is a few array passes.
+    """
+    keys = np.stack(columns)
+    order = np.arange(keys.shape[1])
+    start, size, depth = np.array([0]), np.array([len(order)]), np.array([0])
+    while True:
+        open_ = (size > 1) & (depth < len(keys))
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            return order
+        ends = np.cumsum(size)
+        begins = ends - size
+        segment = np.repeat(np.arange(len(start)), size)
+        at = np.arange(ends[-1]) + (start - begins)[segment]
+        rows = order[at]
+        key = keys[depth[segment], rows]
+        low, middle, high = key[begins], key[begins + size // 2], key[ends - 1]
+        pivot = np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high))[segment]
+        target, counts, shift = np.empty_like(at), [], start.copy()
+        for part in (key < pivot, key == pivot, key > pivot):
+            seen = np.concatenate([[0], np.cumsum(part)])
+            counts.append(seen[ends] - seen[begins])
+            target[part] = ((shift - seen[begins])[segment] + seen[:-1])[part]
+            shift += counts[-1]
+        order[target] = rows
+        less, equal, more = counts
+        start, size, depth = np.concatenate([start, start + less, start + less + equal]), np.concatenate([less, equal, more]), np.concatenate([depth, depth + 1, depth])
+
+
+#: What became of a suffix: all its strings came before; some may have; a neighbouring bucket may hold its equals.
+REPEATED, PARTLY, OPEN = 0, 1, 2
 
-def sorting(splitters_bc):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        one, two, doc, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("one", "two", "doc", "place"))
-        del held
-        order = multikey_order([one, two, doc, place])
-        one, two, doc, place = one[order], two[order], doc[order], place[order]
-        twice = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])
-        one, two, doc, place = (c[~twice] for c in (one, two, doc, place))  # repeated rows of a table
-        new_one = np.concatenate([[True], one[1:] != one[:-1]])
-        first = new_one | np.concatenate([[True], two[1:] != two[:-1]])
-        group = np.cumsum(new_one) - 1
-        kind = np.where(~first, REPEATED, np.where(np.isin(one, splitters_bc.value[0]), OPEN, np.where(np.bincount(group, first)[group] > 1, PARTLY, -1)))
-        keep = kind >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *[pa.array(c[keep]) for c in (one, two, doc, place)]], ["kind", "one", "two", "doc", "place"])
 
-    return run
+def sorting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sort a bucket and judge its suffixes; tokens stay only on those that are compared across a border."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    names = [*TOKENS, "doc", "place"]
+    columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in names]
+    del held
+    order = multikey_order(columns)
+    columns = [c[order] for c in columns]
+    fresh = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])  # repeated rows of a table
+    columns = [c[fresh] for c in columns]
+    doc, place = columns[5:]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)])
+    first = new | np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[3:5]], axis=0)])
+    group = np.cumsum(new) - 1
+    border = (group == 0) | (group == group[-1])
+    kind = np.where(~first, REPEATED, np.where(border, OPEN, np.where(np.bincount(group, first)[group] > 1, PARTLY, -1)))
+    keep = kind >= 0
+    kind, inside = kind[keep].astype(np.int32), kind[keep] != OPEN
+    arrays = [pa.array(kind), *[pa.array(c[keep], mask=inside) for c in columns[:5]], pa.array(doc[keep]), pa.array(place[keep])]
+    yield pa.RecordBatch.from_arrays(arrays, ["kind", *names])
 
 
 def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +220,8 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [x for b in held for x in b.column("bytes").to_pylist()]
     del held
     begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])])[:-1]
-    hashed = RangeHash(np.frombuffer(b"".join(parts), np.uint8))
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    hashed, window = RangeHash(raw), np.arange(MATCH)
     out = []
     for offset in range(GRAMS):
         rows = np.flatnonzero((low <= offset) & (offset <= back))
@@ -199,6 +230,10 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = begin[rows] + back[rows] - offset
         key = hashed(start, start + MATCH)
         order = np.lexsort((at[rows], doc[rows], key))
+        same = np.flatnonzero(key[order][1:] == key[order][:-1])
+        if any((raw[start[order[s], None] + window] != raw[start[order[s + 1], None] + window]).any() for s in np.array_split(same, len(same) // 4096 + 1)):
+            key = np.unique(raw[start[:, None] + window], axis=0, return_inverse=True)[1].ravel()  # two strings of one hash
+            order = np.lexsort((at[rows], doc[rows], key))
         key, rows = key[order], rows[order]
         same = np.flatnonzero(key[1:] == key[:-1])
         # the same place listed twice is no earlier place
@@ -216,6 +251,21 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(starts[new]), pa.array(starts[last] + MATCH)], ["doc", "start", "stop"])
 
 
+def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each single string of the suffixes to compare: a 128-bit digest, document and start."""
+    for piece in slices(batches, "bytes", 1 << 18):
+        doc, at, back, low = (piece.column(c).to_numpy().astype(np.int64) for c in ("doc", "at", "back", "low"))
+        parts = piece.column("bytes").to_pylist()
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])])[:-1]
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        count = back - low + 1
+        row = np.repeat(np.arange(len(doc)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        place = begin[row] + step
+        digest = [h(place, place + MATCH).view(np.int64) for h in (RangeHash(raw), second_hash(raw))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*digest, doc[row], (at - back)[row] + step)], ["one", "two", "doc", "start"])
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one."""
     out: list[list[int]] = []
@@ -239,65 +289,61 @@ def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, text[at:]]))
             rows.append([{"start": a, "stop": b} for a, b in spans])
         n = [len(t) for t in piece.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(rows, pair), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([piece.column("given"), pa.array(n, pa.int64()), pa.array(rows, pair), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
-def splitters(texts: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Borders between buckets, (leading token, document), from the suffixes of a sample of rows.
+def compared(around: DataFrame, rows: int) -> DataFrame:
+    """Spans of strings that stand earlier too, of suffixes that meet under a common context.
 
-    They only balance the buckets; results are the same for any borders.
+    A context of more than ``rows`` suffixes is not held by one task: its strings are grouped by their digests,
+    and all but the earliest of each are repetitions.
     """
-    wanted = max(SAMPLE_BYTES, SAMPLE_ROWS * buckets * GRAMS // 2)
-    rows = texts.sample(fraction=min(1.0, wanted / max(1, total)), seed=17).mapInArrow(dealing(_constant(texts, (np.zeros(0, np.int64),) * 2)), "bucket int, one long, two long, doc long, place long")
-    got = rows.orderBy(F.xxhash64("one", "doc", "place")).limit(4 * SAMPLE_ROWS * buckets).select("one", "doc").toPandas()
-    order = np.lexsort((got["doc"], got["one"]))
-    at = np.unique(np.linspace(0, len(order), buckets + 1).astype(int)[1:-1])
-    at = order[at[at < len(order)]]
-    return got["one"].to_numpy(np.int64)[at], got["doc"].to_numpy(np.int64)[at]
-
-
-def _constant(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
+    spark = around.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * around.count() // rows))
+    large = around.groupBy("common").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("common")
+    few = around.join(large, "common", "left_anti").repartition(tasks, "common").drop("common")
+    many = around.join(large, "common", "left_semi").select("doc", "at", "back", "low", "bytes").mapInArrow(strings, "one long, two long, doc long, start long")
+    lead = many.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("lead"))
+    later = many.join(lead, ["one", "two"]).filter((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
+    return few.mapInArrow(comparing, "doc long, start long, stop long").union(later.select("doc", "start", (F.col("start") + MATCH).alias("stop")))
 
 
-def find_repeats(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def find_repeats(texts: DataFrame, bucket_rows: int = BUCKET_ROWS, compared_rows: int = COMPARED_ROWS) -> DataFrame:
     """Spans (doc, start, stop) of strings that also start earlier; ``texts`` has doc_id and text bytes."""
     spark = texts.sparkSession
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-2 * total // (GRAMS * bucket_rows)))
-    borders = _constant(texts, splitters(texts, buckets, total))
-    dealt = texts.mapInArrow(dealing(borders), "bucket int, one long, two long, doc long, place long")
-    judged = written(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(sorting(borders), "kind int, one long, two long, doc long, place long"))
-    # tokens on a splitter: of equal suffixes in several buckets the earliest is no repetition
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // (GRAMS * bucket_rows)))
+    dealt = texts.select("doc_id", "text").mapInArrow(dealing, SUFFIX)
+    judged = written(dealt.repartitionByRange(buckets, "a", "b", "c", "doc").mapInArrow(sorting, f"kind int, {SUFFIX}"))
+    # leading tokens at a border: of equal suffixes in several buckets the earliest is no repetition
     open_ = judged.filter(F.col("kind") == OPEN)
-    lead = open_.groupBy("one", "two").agg(F.min(F.struct("doc", "place")).alias("lead"))
-    across = open_.join(lead, ["one", "two"]).withColumn("is_lead", (F.col("doc") == F.col("lead.doc")) & (F.col("place") == F.col("lead.place")))
+    lead = open_.groupBy(*TOKENS).agg(F.min(F.struct("doc", "place")).alias("lead"))
+    across = open_.join(lead, TOKENS).withColumn("is_lead", (F.col("doc") == F.col("lead.doc")) & (F.col("place") == F.col("lead.place")))
     whole = judged.filter(F.col("kind") == REPEATED).select("doc", "place").union(across.filter(~F.col("is_lead")).select("doc", "place"))
     at, back, low = F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
     whole = whole.select("doc", (at - back).alias("start"), (at - low + MATCH).alias("stop"))
     partly = judged.filter(F.col("kind") == PARTLY).select("doc", "place").union(across.filter("is_lead").select("doc", "place"))
     own = partly.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("own"))
     around = texts.join(own, "doc_id").select("doc_id", "text", "own").mapInArrow(surroundings, "common binary, doc long, at long, back int, low int, bytes binary")
-    tasks = max(parts, -(-2 * partly.count() // COMPARED_ROWS))
-    compared = around.repartition(tasks, "common").drop("common").mapInArrow(comparing, "doc long, start long, stop long")
-    return whole.union(compared)
+    return whole.union(compared(written(around), compared_rows))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, compared_rows: int = COMPARED_ROWS) -> DataFrame:
     """Cut from each row's whole text every string of MATCH bytes that also starts earlier.
 
     Earlier means in a row of smaller doc_id, or earlier in the same text; strings are judged on the
     input and may overlap. Returns a row per input row: doc_id (a whole number), n_bytes, removed
-    (spans start, stop in bytes, none touching) and kept (the other bytes). Null texts are empty. A row
-    without doc_id comes after all others. Rows that repeat a doc_id are one document: the same text
+    (spans start, stop in bytes, none touching) and kept (the other bytes). Null texts are empty, and an empty
+    table gives no rows. Texts of any length are taken whole, in stretches. Rows without doc_id come after all
+    others, each text as a document of its own. Rows that repeat a doc_id are one document: the same text
     gives the same result again; of differing texts each loses what any of them loses at that place.
+    Other columns are ignored, whatever their names.
     """
-    texts = id_and_bytes(df, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    spans = find_repeats(texts, bucket_rows).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(cutting, "doc_id long, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    texts = df.select(node_of(id_col, text_col).alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("given"), text.alias("text"))
+    spans = find_repeats(texts, bucket_rows, compared_rows).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = texts.join(spans, "doc_id", "left").select("given", "text", "spans")
+    return joined.mapInArrow(cutting, "doc_id long, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def brute(rows):
     return out
 
 
+def test_multikey_order_of_long_runs():
+    rnd = np.random.default_rng(4)
+    columns = [np.sort(rnd.integers(-5, 5, 4000)), np.zeros(4000, np.int64), rnd.integers(-(1 << 62), 1 << 62, 4000)]
+    assert np.array_equal(suffixes.multikey_order(columns), np.lexsort(columns[::-1]))
+
+
 def check(spark, df, **more):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want = brute(rows)
@@ -50,9 +56,30 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "'x' as own")
     check(spark, df)
     check(spark, df, bucket_rows=40)  # many buckets: tokens lie on splitters
+    check(spark, df, compared_rows=3)  # contexts too large for a task
     assert suffixes.remove_repeats(df.filter("false")).count() == 0
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    rnd = random.Random(11)
+    draw = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, others = draw(300), [draw(400), draw(400)]
+    rows = [(1, passage), (None, others[0] + passage), (None, passage + others[1]), (None, others[0][:90])]
+    got = {(r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.digests(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect() if r.doc_id is None}
+    whole = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(700, 300, whole(others[0])), (700, 300, whole(others[1])), (90, 0, whole(others[0][:90]))}
+
+
+def test_strings_of_one_hash_are_told_apart(spark, monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    a, b = ("".join(rnd.choice("abc") for _ in range(100)).encode() for _ in range(2))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([0, 0, 0], pa.int32()), pa.array([0, 0, 0], pa.int32()), pa.array([a, b, a], pa.binary())], ["doc", "at", "back", "low", "bytes"])
+    monkeypatch.setattr(suffixes.RangeHash, "__call__", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [r for x in suffixes.comparing(iter([batch])) for r in x.to_pylist()] == [{"doc": 3, "start": 0, "stop": 100}]
+
+
 def test_long_text_in_stretches(spark):
     rnd = random.Random(8)
     rows = [(1, "".join(rnd.choice("abc ") for _ in range(9000))), (2, "x" * 700), (3, "")]

@@ -1,24 +1,31 @@
 """Exact top-k inner products with vector-approximation files.
 
-Vectors are dealt into shards. Each shard keeps a small approximation of its vectors: every component as
-the number of a cell of a grid over that component's range. A block of queries scans the cells for an
-upper and a lower bound of each score; then exact vectors are read in the order of their bounds, until
-the kth best exact score cannot be beaten by any vector not read. The shards' best k are merged.
+Vectors are dealt into shards, and each shard is written once as a row: the cell number of every component on a
+grid over that component's range, a byte each, and apart from these the exact vectors. Shards stay where they
+are; queries pass over them in broadcast blocks of bounded size. A block scans the cells for an upper and a lower
+bound of each score; exact vectors are read in the order of their bounds, until the kth best exact score
+cannot be beaten by any vector not read. The shards' best k are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors of one shard, and queries that meet it at once; both bound a task's memory.
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
-#: Cells of a component's range.
-CELLS = 64
+#: Most vectors of a shard on average, and most queries of a broadcast block; both hold at most so many components.
+SHARD_ROWS, QUERY_ROWS, COMPONENTS = 16384, 8192, 1 << 20
+#: Queries whose bounds stand in memory at a time.
+BOUNDED = 128
+#: Cells of a component's range: as many as a byte tells apart.
+CELLS = 256
 #: Exact vectors read at a time.
 READ = 64
 SCALE = 1024
@@ -42,58 +49,76 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     )
 
 
-class Approximation:
-    """The cells of one shard's vectors and bounds of their products with queries."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.low, self.width = low.astype(float), np.maximum((high - low) / CELLS, 1e-9)
-        self.cells = np.minimum((vectors - low) / self.width, CELLS - 1).astype(np.uint8)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        middle = self.low + (self.cells + 0.5) * self.width
-        centre = queries @ middle.T
-        # half a cell in every component, and room for rounding
-        reach = np.abs(queries) @ (0.5 * self.width) + 1e-6 * (1 + np.abs(queries).sum(axis=1)) + 1e-9 * np.abs(centre).max(initial=0)
-        return centre - reach[:, None], centre + reach[:, None]
-
-    def best(self, query: np.ndarray, lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) for one query, reading exact vectors by falling upper bound."""
-        lower = np.where(ids == own, -np.inf, lower)
-        floor = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
-        order = np.flatnonzero((upper >= floor) & (ids != own))
-        order = order[np.argsort(-upper[order], kind="stable")]
-        found: list[tuple[int, int]] = []
-        for at in range(0, len(order), READ):
-            if len(found) >= k and upper[order[at]] < -found[k - 1][0] < MOST:
-                break
-            part = order[at : at + READ]
-            exact = self.vectors[part] @ query
-            found = sorted(found + [(-min(max(int(s), LEAST), MOST), int(i)) for s, i in zip(exact, ids[part], strict=True)])[:k]
-        return [(-s, i) for s, i in found]
-
-
-def exact_dtype(vectors: np.ndarray) -> np.ndarray:
-    """Doubles where every product sum is exact in them, else Python's whole numbers."""
-    most = max(1, int(np.abs(vectors).max(initial=0)))
-    return vectors.astype(np.float64) if most * most * vectors.shape[1] < 2**52 else vectors.astype(object)
-
-
-def search(k: int):
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(shard) and len(block):
-            everything = exact_dtype(np.stack([*shard["v"], *block["v"]]))
-            vectors, queries = everything[: len(shard)], everything[len(shard) :]
-            approx = Approximation(vectors.astype(np.int64) if vectors.dtype != object else vectors.astype(float))
-            approx.vectors = vectors
-            ids, own = shard["vec_id"].to_numpy(), block["vec_id"].to_numpy()
-            for at in range(0, len(queries), 128):
-                lower, upper = approx.bounds(queries[at : at + 128].astype(float))
-                for q in range(len(lower)):
-                    out += [(int(own[at + q]), i, s) for s, i in approx.best(queries[at + q], lower[q], upper[q], ids, own[at + q], k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+def packing(shard: pd.DataFrame) -> pd.DataFrame:
+    """One row for a shard: ids, cells with their grid, and exact vectors."""
+    vectors = np.stack(list(shard["v"])).astype(np.int64)
+    low = vectors.min(axis=0).astype(float)
+    width = np.maximum((vectors.max(axis=0).astype(float) - low) / CELLS, 1e-9)
+    cells = np.clip((vectors - low) / width, 0, CELLS - 1).astype(np.uint8)
+    most = max(abs(int(vectors.min())), abs(int(vectors.max())))
+    return pd.DataFrame({"dim": [vectors.shape[1]], "most": [most], "ids": [shard["vec_id"].to_numpy(np.int64).tobytes()], "low": [low.tolist()], "width": [width.tolist()], "cells": [cells.tobytes()], "exact": [vectors.tobytes()]})
+
+
+SHARD = "dim int, most long, ids binary, low array<double>, width array<double>, cells binary, exact binary"
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the products of queries with all vectors of a shard's cells.
+
+    The product over cells is taken in single precision where components are ``small``.
+    """
+    kind, unit = (np.float32, 2.0**-23) if small else (np.float64, 2.0**-52)
+    steps = queries * width
+    centre = (steps.astype(kind) @ cells.T.astype(kind)).astype(float) + (queries @ (low + 0.5 * width))[:, None]
+    # half a cell in every component, and room for rounding
+    size = np.abs(queries) @ (np.abs(low) + CELLS * width)
+    reach = 0.5 * np.abs(steps).sum(axis=1) + (queries.shape[1] + 8) * (unit * CELLS * np.abs(steps).sum(axis=1) + 2.0**-50 * size) + 1e-6 * (1 + np.abs(queries).sum(axis=1))
+    return centre - reach[:, None], centre + reach[:, None]
+
+
+def best(vectors: np.ndarray, query: np.ndarray, upper: np.ndarray, floor: float, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) for one query, reading exact vectors by falling upper bound."""
+    order = np.flatnonzero((upper >= floor) & (ids != own))
+    order = order[np.argsort(-upper[order], kind="stable")]
+    found: list[tuple[int, int]] = []
+    for at in range(0, len(order), READ):
+        if len(found) >= k and upper[order[at]] < -found[k - 1][0] < MOST:
+            break
+        part = order[at : at + READ]
+        exact = vectors[part] @ query
+        found = sorted({*found, *((-min(max(int(s), LEAST), MOST), int(i)) for s, i in zip(exact, ids[part], strict=True))})[:k]
+    return [(-s, i) for s, i in found]
+
+
+def search(block, k: int):
+    """Meet every shard with a broadcast block: for each dimension the queries' ids and vectors."""
+
+    def one(shard: dict, own: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        dim = shard["dim"]
+        ids = np.frombuffer(shard["ids"], np.int64)
+        cells = np.frombuffer(shard["cells"], np.uint8).reshape(-1, dim)
+        exact = np.frombuffer(shard["exact"], np.int64).reshape(-1, dim)
+        low, width = np.array(shard["low"]), np.array(shard["width"])
+        # doubles where every sum of products is exact in them, else Python's whole numbers
+        most = max(abs(int(asked.min())), abs(int(asked.max())), 1)
+        small = max(shard["most"], most) ** 2 * dim < 1 << 52
+        kind = np.float64 if small else object
+        vectors, queries = exact.astype(kind), asked.astype(kind)
+        for at in range(0, len(own), BOUNDED):
+            lower, upper = bounds(asked[at : at + BOUNDED].astype(float), cells, low, width, small)
+            lower[ids[None, :] == own[at : at + BOUNDED, None]] = -np.inf
+            floor = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(lower), -np.inf)
+            for q in range(len(lower)):
+                for score, i in best(vectors, queries[at + q], upper[q], floor[q], ids, own[at + q], k):
+                    yield int(own[at + q]), i, score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = batch.slice(row, 1).to_pylist()[0]
+                if shard["dim"] in block.value:
+                    found = np.array(list(one(shard, *block.value[shard["dim"]])), np.int64).reshape(-1, 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -107,20 +132,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     repeat an id and its vector count once. Empty tables give no rows. Sums are exact; a score beyond the range of
     a long stops at its end, and such ties go to the smaller vec_id as well.
     """
-    vectors, queries = written(vectors.dropDuplicates(["vec_id", "v"])), written(queries.dropDuplicates(["vec_id", "v"]))
-    dim = F.size("v")
-    sizes = {r.dim: r.n for r in vectors.groupBy(dim.alias("dim")).agg(F.count("*").alias("n")).collect()}
-    asked = queries.agg(F.count("*")).first()[0]
-    shards = max(1, -(-sum(sizes.values()) // shard_rows))
-    blocks = max(1, -(-asked // query_rows))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    data = vectors.withColumns({"dim": dim, "shard": dealt(shards)}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asks = queries.withColumns({"dim": dim, "block": dealt(blocks)}).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    columns = ["dim", "shard", "block", "vec_id", "v"]
-    data, asks = data.select(columns).toDF(*columns), asks.select(columns).toDF(*columns)
-    found = data.groupBy("dim", "shard", "block").cogroup(asks.groupBy("dim", "shard", "block")).applyInPandas(search(k), "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    queries = written(queries.dropDuplicates(["vec_id", "v"]))
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    stored = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    fit = lambda row, most: max(1, -(-row.n // max(1, min(most, COMPONENTS // (row.dim or 1)))))
+    shards, blocks = fit(stored, shard_rows), fit(asked, query_rows)
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    rows = vectors.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("dim"), dealt(shards).alias("shard"))
+    # one file for some shards: enough for all cores in a small table, not too small ones in a large table
+    parts = max(min(shards, 2 * spark.sparkContext.defaultParallelism), -(-shards // 16))
+    files = written(rows.repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInPandas(packing, SHARD))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = []
+    for number in range(blocks):
+        block = queries.filter(dealt(blocks) == number).toPandas()
+        held = {int(d): (g["vec_id"].to_numpy(np.int64), np.stack(list(g["v"])).astype(np.int64)) for d, g in block.groupby(block["v"].map(len))}
+        found = files.mapInArrow(search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long").distinct()
+        ranked.append(written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)))
+    # an id with several vectors may stand in several blocks
+    last = reduce(DataFrame.union, ranked).drop("rank").distinct().withColumn("rank", F.row_number().over(order))
+    return last.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def neighbours(embeddings: DataFrame, k: int = 10) -> DataFrame:

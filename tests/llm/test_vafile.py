@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 
 from tallybridge.llm import vafile
 
@@ -40,3 +41,15 @@ def test_huge_components(spark):
     got = [(r.rank, r.vec_id, r.score) for r in vafile.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
     top = (1 << 63) - 1
     assert got == [(1, 1, top), (2, 2, top), (3, 5, top), (4, 4, 512 * 1024), (5, 3, -top - 1)]
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(7)
+    for scale in (3, 10_000, 1 << 40):
+        shard = vafile.packing(pd.DataFrame({"vec_id": range(300), "v": list(rnd.integers(-scale, scale, (300, 20)))})).iloc[0]
+        vectors = np.frombuffer(shard.exact, np.int64).reshape(-1, 20)
+        queries = rnd.integers(-scale, scale, (9, 20))
+        lower, upper = vafile.bounds(queries.astype(float), np.frombuffer(shard.cells, np.uint8).reshape(-1, 20), np.array(shard.low), np.array(shard.width), scale < 1 << 20)
+        exact = (queries.astype(object) @ vectors.T.astype(object)).astype(float)
+        assert (lower <= exact).all() and (exact <= upper).all()
+        assert (upper - lower).max() < 0.2 * (exact.max() - exact.min())

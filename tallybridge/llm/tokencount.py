@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import id_and_bytes, slices, written
 
 #: Tokens of a block, and blocks of a group in the prefix scan.
 BLOCK_TOKENS, GROUP_BLOCKS = 1 << 19, 1024
+#: Blocks of files that a task reads, one after the other.
+TASK_BLOCKS = 128
 BLOCKS = "file string, block long, tokens binary, ends array<long>"
 
 
@@ -72,19 +75,39 @@ def token_stream(df: DataFrame, ranks_path: str, pattern: str, separator: int, b
     return rows.mapInArrow(encoding(ranks, pattern, separator, block_tokens), BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of flat token files. Spark reads a file whole, so a file must fit a task (below 2 GB)."""
+def reading(step: int):
+    """Read each range (path, block) of ``step`` bytes, in the task that it was dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 2 * block_tokens
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                raw = content.as_buffer()
-                for block, at in enumerate(range(0, raw.size, step)):
-                    part = raw.slice(at, min(step, raw.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([part], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "tokens", "ends"])
+            for name, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                scheme, _, place = name.partition(":")
+                system, place = (fs.LocalFileSystem(), "/" + place.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as file:
+                    file.seek(block * step)
+                    part = file.read(step)
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, block, part, None), kinds, strict=True)], ["file", "block", "tokens", "ends"])
+
+    return run
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of flat token files of any size.
+
+    Spark lists the files and deals ranges of them out; a task opens a file and reads its own ranges, one block
+    at a time, so a file of any length is spread over many tasks. Files must lie where executors can
+    open them: a shared mount, or a store that ``pyarrow.fs`` knows by its address. An empty file has no blocks.
+    """
+    step = 2 * block_tokens
+    files = spark.read.format("binaryFile").load(path).select("path", F.ceil(F.col("length") / step).alias("n")).filter("n > 0")
+    total = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # two steps, so that no file makes one huge array
+    groups = files.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP_BLOCKS))).alias("group"))
+    first = F.col("group") * GROUP_BLOCKS
+    blocks = groups.select("path", F.explode(F.sequence(first, F.least(first + GROUP_BLOCKS, F.col("n")) - 1)).alias("block"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BLOCKS))
+    return blocks.repartition(tasks, "path", "block").mapInArrow(reading(step), BLOCKS)
 
 
 def separators(separator: int):

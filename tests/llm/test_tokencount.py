@@ -38,3 +38,16 @@ def test_files(spark, tmp_path):
             assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.n_tokens, r.closed) for r in got) == sorted(want)
     finally:
         tc.GROUP_BLOCKS = old
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    ids = np.random.default_rng(6).integers(0, 50, 60_000)
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    ids.astype("<u2").tofile(folder / "x.bin")
+    blocks = tc.read_token_files(spark, str(folder), 1000)
+    tasks = {r[0] for r in blocks.selectExpr("spark_partition_id()").collect()}
+    assert len(tasks) > 1
+    rows = blocks.orderBy("block").collect()
+    assert b"".join(bytes(r.tokens) for r in rows) == ids.astype("<u2").tobytes()
+    assert "content" not in blocks._jdf.queryExecution().executedPlan().toString()

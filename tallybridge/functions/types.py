@@ -45,7 +45,7 @@ SPARK = {
     "HUGEINT": T.DecimalType(38, 0), "UTINYINT": T.ShortType(), "USMALLINT": T.IntegerType(), "UINTEGER": T.LongType(), "UBIGINT": T.DecimalType(20, 0),
     "UHUGEINT": T.DecimalType(38, 0), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(), "VARCHAR": T.StringType(), "DATE": T.DateType(),
     "TIMESTAMP": T.TimestampNTZType(), "TIMESTAMP_S": T.TimestampNTZType(), "TIMESTAMP_MS": T.TimestampNTZType(), "TIMESTAMP_NS": T.LongType(),
-    "TIMESTAMP WITH TIME ZONE": T.TimestampType(), "BLOB": T.BinaryType(), "UUID": T.StringType(),
+    "TIMESTAMP WITH TIME ZONE": T.TimestampType(), "BLOB": T.BinaryType(), "UUID": T.StringType(), "TIME": T.TimeType(6),
 }
 
 

@@ -1,27 +1,35 @@
-"""Reading snapshots: strict CSV and Parquet files as one frame with known logical types."""
+"""Reading snapshots: strict CSV and Parquet files as one frame with known logical types.
+
+Facts about files (dialects of CSV files, schemas of Parquet footers, types that CSV values fit, rows and
+folder conflicts) come from one job each for all files of a snapshot; files that read alike are read together,
+and a row's file is known by Spark's hidden metadata column.
+"""
 
 from __future__ import annotations
 
-import csv
-import io
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybridge.errors import CompareError
 from tallybridge.functions.exact import named
 from tallybridge.functions.types import logical_name, spark_type
-from tallybridge.sources.files import digest, inventory, spark_path
+from tallybridge.sources.dialect import dialects
+from tallybridge.sources.files import SourceFile, file_digests, inventory, joined_digest, spark_path, spark_uri
 
-#: Characters of a CSV file that its delimiter and header are judged by; types come from all of it.
-SNIFFED = 1 << 16
-DELIMITERS = (",", ";", "\t", "|")
 # Date format letters of the C library and the patterns of Spark that mean the same.
 PATTERNS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%%": "%"}
 DATE, TIME = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
+#: Types that CSV values may turn out to have, in the order in which they are tried.
+LADDER = ("BOOLEAN", "BIGINT", "DOUBLE", "TIME", "DATE", "TIMESTAMP")
+#: The column that names a row's file while files are put together; no input can have this name.
+FILE = "\0file"
 
 
 @dataclass
@@ -33,6 +41,16 @@ class Snapshot:
     profile: dict
 
 
+@dataclass
+class Group:
+    """Files that are read together: their numbers, and how their rows and types come about."""
+
+    files: list[int]
+    rows: DataFrame
+    schema: dict[str, str]
+    parsing: dict
+
+
 def java_pattern(written: str) -> str:
     """A date format such as %d/%m/%Y as a Spark pattern."""
     out, i = "", 0
@@ -47,56 +65,69 @@ def java_pattern(written: str) -> str:
     return out
 
 
-def footer_names(path: str) -> dict[str, str]:
-    """Logical names that Spark's types hide: unsigned integers and nanosecond timestamps."""
-    unsigned = {"uint8": "UTINYINT", "uint16": "USMALLINT", "uint32": "UINTEGER", "uint64": "UBIGINT"}
-    out = {}
-    for f in pq.read_schema(path):
-        kind = str(f.type)
-        if kind in unsigned:
-            out[f.name] = unsigned[kind]
-        elif kind == "timestamp[ns]":
-            out[f.name] = "TIMESTAMP_NS"
-        elif kind in ("timestamp[s]", "timestamp[ms]"):
-            out[f.name] = "TIMESTAMP_MS"
-    return out
+# --- Parquet ------------------------------------------------------------------------------------------
+
+
+def reading_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            fields = [(f.name, str(f.type)) for f in pq.read_schema(row["path"])]
+            yield pa.RecordBatch.from_pylist([{"number": row["number"], "fields": json.dumps(fields)}])
+
+
+def footer_names(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """Logical names that Spark's types hide: unsigned integers and coarse or fine timestamps."""
+    hidden = {"uint8": "UTINYINT", "uint16": "USMALLINT", "uint32": "UINTEGER", "uint64": "UBIGINT", "timestamp[ns]": "TIMESTAMP_NS", "timestamp[s]": "TIMESTAMP_MS", "timestamp[ms]": "TIMESTAMP_MS"}
+    return {name: hidden[kind] for name, kind in fields if kind in hidden}
+
+
+def parquet_groups(spark: SparkSession, files: list[tuple[int, str]]) -> list[Group]:
+    """One group for all Parquet files, which must have the same names and types; footers are read in tasks."""
+    if not files:
+        return []
+    frame = spark.createDataFrame(files, "number long, path string").repartition(min(len(files), 10_000))
+    kinds: dict[str, list[int]] = {}
+    for r in frame.mapInArrow(reading_footers, "number long, fields string").collect():
+        kinds.setdefault(r.fields, []).append(r.number)
+    paths, schemas = dict(files), []
+    for fields, numbers in sorted(kinds.items(), key=lambda k: min(k[1])):
+        sample = spark.read.parquet(spark_path(paths[min(numbers)]))
+        schemas.append({f.name: logical_name(f.dataType) for f in sample.schema.fields} | footer_names(json.loads(fields)))
+    same_types(schemas)
+    rows = spark.read.schema(sample_schema(spark, paths[files[0][0]])).parquet(*[spark_path(p) for _, p in files])
+    return [Group([i for i, _ in files], with_file(rows, list(schemas[0])), schemas[0], {})]
+
+
+def sample_schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.parquet(spark_path(path)).schema
+
+
+def with_file(rows: DataFrame, columns: list[str], values: list[Column] | None = None) -> DataFrame:
+    return rows.select(*(values or [named(c) for c in columns]), F.col("_metadata.file_path").alias(FILE))
+
+
+def same_types(schemas: list[dict[str, str]]) -> None:
+    if any(s != schemas[0] for s in schemas):
+        raise CompareError("The files of one snapshot disagree about column names or types")
 
 
-def sniffed(path: str, options: dict) -> tuple[str, bool, list[str]]:
-    """Delimiter, whether there is a header, and column names, unless given."""
-    try:
-        with open(path, encoding="utf-8-sig", newline="") as f:
-            head = f.read(SNIFFED)
-    except UnicodeError:
-        raise CompareError("CSV input must be UTF-8 text") from None
-    head = head if len(head) < SNIFFED else head[: head.rfind("\n") + 1]
-    read = lambda d: [r for r in csv.reader(io.StringIO(head), delimiter=d, quotechar=options.get("quote", '"')) if r]
-
-    def fit(d: str) -> tuple:
-        widths = [len(r) for r in read(d)[:200]]
-        return (len(set(widths)) == 1 and widths[0] > 1, widths[0] if widths else 0) if widths else (False, 0)
-
-    delimiter = options.get("delimiter") or max(DELIMITERS, key=fit)
-    rows = read(delimiter)
-    if not rows:
-        raise CompareError("CSV input is empty")
-    plain = lambda v: v != "" and not any(c.isdigit() for c in v[:1].lstrip("+-.") or "") and v.lower() not in ("true", "false")
+# --- CSV ----------------------------------------------------------------------------------------------
+
+
+def header_of(record: list[str], options: dict) -> tuple[bool, list[str]]:
+    """Whether the first record names the columns, unless that is given, and the names."""
+    plain = lambda v: v != "" and not v[:1].lstrip("+-.").isdigit() and not v.lstrip("+-.")[:1].isdigit() and v.lower() not in ("true", "false")
     header = options.get("header")
     if header is None:
-        header = all(plain(v) for v in rows[0]) and len(set(rows[0])) == len(rows[0])
-    return delimiter, header, rows[0] if header else [f"column{i}" for i in range(len(rows[0]))]
+        header = all(map(plain, record)) and len(set(record)) == len(record)
+    return header, record if header else [f"column{i}" for i in range(len(record))]
 
 
-def csv_file(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, dict[str, str], dict]:
-    """A CSV file with strict rows; types are inferred from the whole file where not given."""
-    delimiter, header, names = sniffed(path, options)
-    if any(n == "" for n in names) or len({n.lower() for n in names}) < len(names):
-        raise CompareError("CSV column names must be nonempty and unique")
-    if unknown := set(options.get("types", {})) - set(names):
-        raise CompareError(f"csv types name unknown columns {sorted(unknown)}")
+def reader_options(dialect: dict, header: bool, options: dict) -> dict[str, str]:
+    """Strict reading; only files with line ends inside quotes are read in one piece each."""
     reader = {
-        "sep": delimiter, "header": header, "quote": options.get("quote", '"'), "escape": options.get("escape", '"'), "nullValue": options.get("nullstr", ""),
-        "mode": "FAILFAST", "columnPruning": "false", "encoding": "UTF-8", "enforceSchema": "true", "multiLine": "true",
+        "sep": dialect["delimiter"], "header": str(header).lower(), "quote": dialect["quote"], "escape": dialect["escape"], "nullValue": options.get("nullstr", ""),
+        "mode": "FAILFAST", "columnPruning": "false", "encoding": "UTF-8", "enforceSchema": "true", "multiLine": str(dialect["multiline"]).lower(),
     }
     if "nullstr" in options:
         reader["emptyValue"] = ""
@@ -104,49 +135,99 @@ def csv_file(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame,
         reader["dateFormat"] = java_pattern(options["dateformat"])
     if "timestampformat" in options:
         reader["timestampNTZFormat"] = reader["timestampFormat"] = java_pattern(options["timestampformat"])
-    load = lambda schema: spark.read.options(**reader).schema(schema).csv(spark_path(path))
-    text = load(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    types = dict(options.get("types", {}))
-    open_ = [n for n in names if n not in types]
-    if open_:
-        found = text.agg(*[check.alias(f"{i}_{kind}") for i, n in enumerate(open_) for kind, check in ladder(named(n), reader).items()]).first()
-        for i, n in enumerate(open_):
-            types[n] = "VARCHAR" if not found[f"{i}_any"] else next((k for k in ("BOOLEAN", "BIGINT", "DOUBLE", "DATE", "TIMESTAMP") if found[f"{i}_{k}"]), "VARCHAR")
-    rows = load(T.StructType([T.StructField(n, spark_type(types[n])) for n in names]))
-    return rows, {n: types[n] for n in names}, {"delimiter": delimiter, "header": header, "types": types}
-
-
-def ladder(c, reader: dict) -> dict:
-    """Whether all values of a text column fit each type; nulls fit any."""
+    return reader
+
+
+def ladder(c: Column, reader: dict) -> dict[str, Column]:
+    """Whether there is any value in a text column, and whether all fit each type; nulls fit any."""
     fits = lambda test: F.coalesce(F.bool_and(F.when(c.isNotNull(), F.coalesce(test, F.lit(False)))), F.lit(True))
-    date = F.try_to_date(c, reader["dateFormat"]).isNotNull() if "dateFormat" in reader else c.rlike(f"^{DATE}$") & F.expr("1=1") & F.try_to_date(c).isNotNull()
+    date = F.try_to_date(c, reader["dateFormat"]).isNotNull() if "dateFormat" in reader else c.rlike(f"^{DATE}$") & F.try_to_date(c).isNotNull()
     stamp = F.try_to_timestamp(c, F.lit(reader["timestampFormat"])).isNotNull() if "timestampFormat" in reader else c.rlike(f"^{DATE}[ T]{TIME}$") & F.try_to_timestamp(c).isNotNull()
     return {
         "any": F.count(c) > 0,
         "BOOLEAN": fits(F.lower(c).isin("true", "false")),
         "BIGINT": fits(c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()),
         "DOUBLE": fits(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")),
+        "TIME": fits(c.rlike(f"^{TIME}$") & c.try_cast("time(6)").isNotNull()),
         "DATE": fits(date),
         "TIMESTAMP": fits(stamp),
     }
 
 
-def one_file(spark: SparkSession, path: str, folders: dict, options: dict) -> tuple[DataFrame, dict[str, str], dict]:
-    """A file's rows with its folder columns, which are always text."""
-    if path.lower().endswith(".csv"):
-        rows, schema, parsing = csv_file(spark, path, options)
-    else:
-        rows, parsing = spark.read.parquet(spark_path(path)), {}
-        schema = {f.name: logical_name(f.dataType) for f in rows.schema.fields} | footer_names(path)
-    for name, value in folders.items():
-        stored = [c for c in schema if c.lower() == name.lower()]
-        if stored and stored != [name]:
+def inferred(text: DataFrame, open_: list[str], reader: dict, uris: dict[str, int]) -> dict[int, dict[str, str]]:
+    """Types of the columns ``open_`` by file, from all values of all files in one job."""
+    checks = [check.alias(f"{i}_{kind}") for i, n in enumerate(open_) for kind, check in ladder(named(n), reader).items()]
+    found = {uris[r[FILE]]: r for r in text.groupBy(named(FILE)).agg(*checks).collect()} if open_ else {}
+    out = {}
+    for number in uris.values():
+        r = found.get(number)
+        out[number] = {n: "VARCHAR" if r is None or not r[f"{i}_any"] else next((k for k in LADDER if r[f"{i}_{k}"]), "VARCHAR") for i, n in enumerate(open_)}
+    return out
+
+
+def csv_groups(spark: SparkSession, files: list[tuple[int, str]], options: dict) -> list[Group]:
+    """Groups of CSV files of one dialect, header and types; types are inferred from whole files where not given."""
+    if not files:
+        return []
+    given, alike = options.get("types", {}), {}
+    found, paths = dialects(spark, files, options), dict(files)
+    for number, _ in files:
+        d = found[number]
+        header, names = header_of(d["record"], options)
+        if any(n == "" for n in names) or len({n.lower() for n in names}) < len(names):
+            raise CompareError("CSV column names must be nonempty and unique")
+        if unknown := set(given) - set(names):
+            raise CompareError(f"csv types name unknown columns {sorted(unknown)}")
+        reader = reader_options(d, header, options)
+        alike.setdefault((tuple(names), json.dumps(reader)), []).append(number)
+    out = []
+    for (names, reader), numbers in alike.items():
+        reader = json.loads(reader)
+        text = csv_rows(spark, reader, {n: "VARCHAR" for n in names}, [paths[i] for i in numbers])
+        types = inferred(text, [n for n in names if n not in given], reader, {spark_uri(spark, paths[i]): i for i in numbers})
+        schemas = [{n: given.get(n) or types[i][n] for n in names} for i in numbers]
+        same_types(schemas)
+        parsing = {"delimiter": reader["sep"], "header": reader["header"] == "true", "quote": reader["quote"], "escape": reader["escape"], "splittable": reader["multiLine"] == "false", "types": schemas[0], "reader": reader}
+        out.append(Group(numbers, csv_rows(spark, reader, schemas[0], [paths[i] for i in numbers]), schemas[0], parsing))
+    return out
+
+
+def csv_rows(spark: SparkSession, reader: dict, schema: dict[str, str], paths: list[str]) -> DataFrame:
+    """The rows of CSV files; times are read as text, as Spark's reader knows none, and cast strictly."""
+    stored = T.StructType([T.StructField(n, T.StringType() if k == "TIME" else spark_type(k)) for n, k in schema.items()])
+    rows = spark.read.options(**reader).schema(stored).csv([spark_path(p) for p in paths])
+    return with_file(rows, list(schema), [named(n).cast("time(6)").alias(n) if k == "TIME" else named(n) for n, k in schema.items()])
+
+
+# --- snapshots ----------------------------------------------------------------------------------------
+
+
+def with_folders(rows: DataFrame, files: list[SourceFile], uris: list[str], stored: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with the columns of their folders, which are text; a stored column of that name stays as it is.
+
+    Values come by an equal join on the row's file; the frame of files has a short row for each file. The
+    column ``<FILE><name>`` keeps the folder's value beside a stored column, to be compared with it.
+    """
+    names = list(files[0].folders)
+    if not names:
+        return rows, stored
+    for name in names:
+        if any(c != name and c.lower() == name.lower() for c in stored):
             raise CompareError("A folder's column and a column in the file differ by case alone")
-        if stored and not rows.filter(~named(name).cast("string").eqNullSafe(F.lit(value))).limit(1).isEmpty():
-            raise CompareError("A file stores its folder's column with another value than the folder's name has")
-        rows = rows.withColumn(name, F.lit(value).cast("string"))
-        schema[name] = "VARCHAR"
-    return rows, schema, parsing
+    schema = T.StructType([T.StructField(FILE, T.StringType()), *[T.StructField(FILE + n if n in stored else n, T.StringType()) for n in names]])
+    values = rows.sparkSession.createDataFrame([(u, *[f.folders[n] for n in names]) for u, f in zip(uris, files, strict=True)], schema)
+    return rows.join(values, FILE), stored | {n: "VARCHAR" for n in names if n not in stored}
+
+
+def file_counts(rows: DataFrame, columns: list[str], conflicts: list[str]) -> dict[str, int]:
+    """Rows by file, in one job that parses every column, so that malformed rows are noticed; and no conflict."""
+    other = F.lit(False)
+    for n in conflicts:
+        other = other | ~named(n).cast("string").eqNullSafe(named(FILE + n))
+    found = rows.groupBy(named(FILE)).agg(F.count("*").alias("n"), F.count_if(other).alias("conflicts"), *[F.count(named(c)) for c in columns]).collect()
+    if any(r["conflicts"] for r in found):
+        raise CompareError("A file stores its folder's column with another value than the folder's name has")
+    return {r[FILE]: r["n"] for r in found}
 
 
 def renamed(rows: DataFrame, schema: dict[str, str], mapping: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
@@ -162,28 +243,26 @@ def renamed(rows: DataFrame, schema: dict[str, str], mapping: dict[str, str]) ->
 def read_snapshot(spark: SparkSession, source: str | list[str], csv_options: dict | None = None, mapping: dict[str, str] | None = None) -> Snapshot:
     """One frame of all files, aligned by name; no type is changed to make files fit each other."""
     files = inventory(source)
-    sha = digest(source)
-    parts = [one_file(spark, path, folders, csv_options or {}) for path, folders in files]
-    first = parts[0][1]
-    if any(schema != first for _, schema, _ in parts):
-        raise CompareError("The files of one snapshot disagree about column names or types")
+    uris, hashes = [spark_uri(spark, f.path) for f in files], file_digests(spark, [f.path for f in files])
+    numbered = [(i, f.path) for i, f in enumerate(files)]
+    groups = csv_groups(spark, [n for n in numbered if files[n[0]].is_csv], csv_options or {}) + parquet_groups(spark, [n for n in numbered if not files[n[0]].is_csv])
+    same_types([g.schema for g in groups])
+    first = min(groups, key=lambda g: min(g.files)).schema
     if len({c.lower() if c.isascii() else c for c in first}) < len(first):
         raise CompareError("Two columns of a snapshot differ by case alone")
-    plain = all(not f and p.lower().endswith(".parquet") for p, f in files)
-    rows = spark.read.parquet(*[spark_path(p) for p, _ in files]).select(*[named(c) for c in first]) if plain else parts[0][0]
-    for other, _, _ in () if plain else parts[1:]:
-        rows = rows.unionByName(other)
-    counts = [file_rows(part) for part, _, _ in parts]
+    rows = groups[0].rows
+    for g in groups[1:]:
+        rows = rows.unionByName(g.rows)
+    rows, schema = with_folders(rows.select(*[named(c) for c in first], named(FILE)), files, uris, first)
+    # a list may name a file twice; each naming reads all of it
+    times = {u: uris.count(u) for u in set(uris)} if isinstance(source, list) else {}
+    counts = file_counts(rows, list(schema), [n for n in files[0].folders if n in first])
+    counts = [counts.get(u, 0) // times.get(u, 1) for u in uris]
+    parsing = {i: g.parsing for g in groups for i in g.files}
     profile = {
-        "source_schema": dict(first), "column_mapping": mapping or {}, "sha256": sha, "parsing": [p for _, _, p in parts],
-        "files": [{"path": p, "partitions": f, "rows": n} for (p, f), n in zip(files, counts, strict=True)], "file_count": len(files), "row_count": sum(counts),
-        "input_kind": "list" if isinstance(source, list) else "directory" if len(files) > 1 or files[0][0] != source else "file",
+        "source_schema": dict(schema), "column_mapping": mapping or {}, "sha256": joined_digest([(f.path, h) for f, h in zip(files, hashes, strict=True)]), "parsing": [parsing[i] for i in range(len(files))],
+        "files": [{"path": f.path, "partitions": f.folders, "rows": n, "sha256": h} for f, n, h in zip(files, counts, hashes, strict=True)], "file_count": len(files), "row_count": sum(counts),
+        "input_kind": "list" if isinstance(source, list) else "directory" if len(files) > 1 or files[0].path != source else "file",
     }
-    rows, schema = renamed(rows, first, mapping or {})
-    return Snapshot(rows, schema, {**profile, "schema": schema})
-
-
-def file_rows(rows: DataFrame) -> int:
-    """The number of rows, after parsing every column, so that malformed rows are noticed."""
-    flat = [c for c in rows.columns]
-    return rows.agg(F.count("*").alias("n"), *[F.count(named(c)) for c in flat]).first()["n"]
+    rows, named_schema = renamed(rows, schema, mapping or {})
+    return Snapshot(rows, named_schema, {**profile, "schema": named_schema})

@@ -20,8 +20,8 @@ from .licenses import words_of as ascii_words
 
 #: Word edits allowed, as a share of the item's words.
 BUDGET = 0.2
-#: Items of fewer words match nothing unless the caller asks for them.
-LEAST_WORDS = 5
+#: Items of fewer words match nothing; by default all are searched.
+LEAST_WORDS = 1
 #: Bytes of benchmark text searched at once; larger benchmarks are searched block by block.
 BLOCK_BYTES = 16 << 20
 
@@ -156,8 +156,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, le
     item_words, distance (in words), first_word and last_word; of overlapping places of one item the
     nearest stays. Words are those of ASCII letters and digits and of other characters, without case.
     The budget is the share of the item's words, rounded down, at every length. Items of fewer than
-    ``least_words`` words cannot be told from chance and match nothing by default; with 1, all are
-    searched, those too short for an edit as exact word runs. Null or empty items match nothing; null
+    ``least_words`` words match nothing; by default all are searched, those too short for an edit as
+    exact word runs. Of places at equal distance the first stays. Texts of any length are searched whole,
+    within one row; an empty table or benchmark gives no rows. Null or empty items match nothing; null
     and empty texts hold nothing; items and rows that repeat repeat. The benchmark
     goes to the tasks in blocks of ``block_bytes`` of text, each searched by a scan of its own, so that
     no more than that is broadcast at once.

@@ -32,6 +32,8 @@ MATCH, GRAM = 100, 24
 GRAMS = MATCH - GRAM + 1
 #: Bytes hashed at a time; a longer document is cut into stretches whose strings overlap.
 STRETCH = 1 << 20
+#: Bits for a place in a slice, which holds less than twice a stretch and the strings' overlap.
+PLACE_BITS = 22
 #: Suffixes that a bucket should hold.
 BUCKET_ROWS = 500_000
 #: Suffixes compared in one task; a context that more of them share is grouped by strings instead.
@@ -76,7 +78,7 @@ def anchors(raw: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.nd
     hashed = RangeHash(raw)
     at = np.arange(len(raw) - GRAM + 1)
     gram = mix((hashed.sums[GRAM:] - hashed.sums[:-GRAM]) * hashed.back[: len(at)])
-    bits = np.uint64(max(1, len(at).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same in every slice, so that equal strings have equal anchors
     least = ((gram >> bits) << bits) | at.astype(np.uint64)
     del gram
     span = 1
@@ -252,7 +254,7 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each single string of the suffixes to compare: a 128-bit digest, document and start."""
+    """Each single string of the suffixes to compare: its bytes, document and start."""
     for piece in slices(batches, "bytes", 1 << 18):
         doc, at, back, low = (piece.column(c).to_numpy().astype(np.int64) for c in ("doc", "at", "back", "low"))
         parts = piece.column("bytes").to_pylist()
@@ -261,9 +263,9 @@ def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = back - low + 1
         row = np.repeat(np.arange(len(doc)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        place = begin[row] + step
-        digest = [h(place, place + MATCH).view(np.int64) for h in (RangeHash(raw), second_hash(raw))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*digest, doc[row], (at - back)[row] + step)], ["one", "two", "doc", "start"])
+        own = np.lib.stride_tricks.sliding_window_view(raw, MATCH)[begin[row] + step].tobytes()
+        each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MATCH), len(row), [None, pa.py_buffer(own)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([each, pa.array(doc[row]), pa.array((at - back)[row] + step)], ["string", "doc", "start"])
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -295,16 +297,16 @@ def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(around: DataFrame, rows: int) -> DataFrame:
     """Spans of strings that stand earlier too, of suffixes that meet under a common context.
 
-    A context of more than ``rows`` suffixes is not held by one task: its strings are grouped by their digests,
-    and all but the earliest of each are repetitions.
+    A context of more than ``rows`` suffixes is not held by one task: its strings are grouped by their bytes,
+    and all but the earliest of each are repetitions. Either way strings are compared whole.
     """
     spark = around.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * around.count() // rows))
     large = around.groupBy("common").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("common")
     few = around.join(large, "common", "left_anti").repartition(tasks, "common").drop("common")
-    many = around.join(large, "common", "left_semi").select("doc", "at", "back", "low", "bytes").mapInArrow(strings, "one long, two long, doc long, start long")
-    lead = many.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("lead"))
-    later = many.join(lead, ["one", "two"]).filter((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
+    many = around.join(large, "common", "left_semi").select("doc", "at", "back", "low", "bytes").mapInArrow(strings, "string binary, doc long, start long")
+    lead = many.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("lead"))
+    later = many.join(lead, "string").filter((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
     return few.mapInArrow(comparing, "doc long, start long, stop long").union(later.select("doc", "start", (F.col("start") + MATCH).alias("stop")))
 
 
@@ -314,7 +316,7 @@ def find_repeats(texts: DataFrame, bucket_rows: int = BUCKET_ROWS, compared_rows
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // (GRAMS * bucket_rows)))
     dealt = texts.select("doc_id", "text").mapInArrow(dealing, SUFFIX)
-    judged = written(dealt.repartitionByRange(buckets, "a", "b", "c", "doc").mapInArrow(sorting, f"kind int, {SUFFIX}"))
+    judged = written(dealt.repartitionByRange(buckets, "a", "b", "c", "doc", "place").mapInArrow(sorting, f"kind int, {SUFFIX}"))
     # leading tokens at a border: of equal suffixes in several buckets the earliest is no repetition
     open_ = judged.filter(F.col("kind") == OPEN)
     lead = open_.groupBy(*TOKENS).agg(F.min(F.struct("doc", "place")).alias("lead"))

@@ -36,15 +36,15 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id and its vector as whole numbers floor(scale * x); odd vectors are left out.
 
-    Left out: null ids, null or empty vectors, and vectors that hold null, NaN or an infinity. Components
-    beyond 2**62 stop there.
+    Left out: null ids, null vectors, and vectors that hold null, NaN or an infinity. Components beyond 2**62
+    stop there. Vectors without components take part, among themselves.
     """
     top = float(1 << 62)
     x = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (v != float("inf")) & (v != float("-inf")))
     return (
         df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
-        .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & finite)
+        .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
         .select("vec_id", F.transform("x", lambda v: F.floor(F.greatest(F.lit(-top), F.least(F.lit(top), v * float(scale)))).cast("long")).alias("v"))
     )
 
@@ -55,7 +55,7 @@ def packing(shard: pd.DataFrame) -> pd.DataFrame:
     low = vectors.min(axis=0).astype(float)
     width = np.maximum((vectors.max(axis=0).astype(float) - low) / CELLS, 1e-9)
     cells = np.clip((vectors - low) / width, 0, CELLS - 1).astype(np.uint8)
-    most = max(abs(int(vectors.min())), abs(int(vectors.max())))
+    most = max(abs(int(vectors.min())), abs(int(vectors.max()))) if vectors.size else 0
     return pd.DataFrame({"dim": [vectors.shape[1]], "most": [most], "ids": [shard["vec_id"].to_numpy(np.int64).tobytes()], "low": [low.tolist()], "width": [width.tolist()], "cells": [cells.tobytes()], "exact": [vectors.tobytes()]})
 
 
@@ -96,11 +96,11 @@ def search(block, k: int):
     def one(shard: dict, own: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, int, int]]:
         dim = shard["dim"]
         ids = np.frombuffer(shard["ids"], np.int64)
-        cells = np.frombuffer(shard["cells"], np.uint8).reshape(-1, dim)
-        exact = np.frombuffer(shard["exact"], np.int64).reshape(-1, dim)
+        cells = np.frombuffer(shard["cells"], np.uint8).reshape(len(ids), dim)
+        exact = np.frombuffer(shard["exact"], np.int64).reshape(len(ids), dim)
         low, width = np.array(shard["low"]), np.array(shard["width"])
         # doubles where every sum of products is exact in them, else Python's whole numbers
-        most = max(abs(int(asked.min())), abs(int(asked.max())), 1)
+        most = max(abs(int(asked.min())), abs(int(asked.max())), 1) if asked.size else 1
         small = max(shard["most"], most) ** 2 * dim < 1 << 52
         kind = np.float64 if small else object
         vectors, queries = exact.astype(kind), asked.astype(kind)
@@ -148,8 +148,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     for number in range(blocks):
         block = queries.filter(dealt(blocks) == number).toPandas()
         held = {int(d): (g["vec_id"].to_numpy(np.int64), np.stack(list(g["v"])).astype(np.int64)) for d, g in block.groupby(block["v"].map(len))}
-        found = files.mapInArrow(search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long").distinct()
+        held_bc = spark.sparkContext.broadcast(held)
+        found = files.mapInArrow(search(held_bc, k), "query_id long, vec_id long, score long").distinct()
         ranked.append(written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)))
+        held_bc.destroy()  # its rows are written, so no task reads the block again
     # an id with several vectors may stand in several blocks
     last = reduce(DataFrame.union, ranked).drop("rank").distinct().withColumn("rank", F.row_number().over(order))
     return last.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

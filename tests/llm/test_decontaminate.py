@@ -47,9 +47,9 @@ def test_leaks(spark):
         words = dec.words_of((r.text or "").encode())
         if len(words) > 5000:
             continue
-        for item, text in items.items():
+        for item, text in [*items.items(), (902, ["the", "and", "of"])]:
             p = dec.words_of(" ".join(text).encode())
-            if dec.best_match(p, words)[0] <= min(int(0.2 * len(p)), len(p) // 5 - 1):
+            if dec.best_match(p, words)[0] <= int(0.2 * len(p)):
                 want.add((r.doc_id, item))
     assert {p for p in pairs if p[0] is not None and (p[0] % 7 == 0 or p[0] < 0) and p[0] != -1002} == want
     assert dec.find_leaks(df.filter("false"), odd).count() == 0 and dec.find_leaks(df, odd.filter("false")).count() == 0

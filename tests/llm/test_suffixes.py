@@ -97,3 +97,15 @@ def test_multikey_order():
     for n in (0, 1, 2, 500):
         columns = [rnd.integers(0, 4, n) for _ in range(4)]
         assert np.array_equal(np.stack(columns)[:, suffixes.multikey_order(columns)], np.stack(columns)[:, np.lexsort(columns[::-1])])
+
+
+def test_one_byte_is_dealt_to_many_buckets(spark):
+    """A long run of one byte has one leading token; its place is part of the key, so no task holds it whole."""
+    df = spark.createDataFrame([(1, "x" * 60_000), (2, "y" + "x" * 5000)], "doc_id long, text string")
+    rows = suffixes.digests(suffixes.remove_repeats(df, bucket_rows=100)).orderBy("doc_id").collect()
+    # all but the first hundred bytes repeat; of the second text all x, but not the y before them
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in rows] == [(60_000, 59_999, 1), (5001, 5000, 1)]
+    texts = df.selectExpr("doc_id", "cast(text as binary) as text")
+    dealt = texts.mapInArrow(suffixes.dealing, suffixes.SUFFIX).repartitionByRange(40, "a", "b", "c", "doc", "place")
+    sizes = [r["count"] for r in dealt.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < sum(sizes) / 5

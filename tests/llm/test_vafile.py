@@ -6,7 +6,7 @@ from tallybridge.llm import vafile
 
 
 def brute(rows, k=10):
-    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, x in good:
         if q % 100 == 0:
@@ -28,7 +28,7 @@ def test_against_brute_force_and_sql(spark):
 def test_odd_rows(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, rnd.normal(size=3).tolist()) for i in range(1, 240)] + [(i, [0.5, 0.25, -0.5]) for i in range(300, 420)]
-    rows += [(0, [0.0, 0.0, 0.0]), (600, None), (700, [1.0, None, 2.0]), (800, [float("nan"), 1.0, 1.0]), (900, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (1000, [3.0]), (1001, [4.0]), (100, rows[99][1]), (1100, [1e7, -1e7, 1e7]), (1200, [])]
+    rows += [(0, [0.0, 0.0, 0.0]), (600, None), (700, [1.0, None, 2.0]), (800, [float("nan"), 1.0, 1.0]), (900, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (1000, [3.0]), (1001, [4.0]), (100, rows[99][1]), (1100, [1e7, -1e7, 1e7]), (1200, []), (1201, []), (1202, [])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
     vectors = vafile.quantised(df)
     got = [tuple(r) for r in vafile.top_k(vectors, vectors.filter("vec_id % 100 = 0"), shard_rows=50, query_rows=3).collect()]

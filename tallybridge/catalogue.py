@@ -99,6 +99,14 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and held in the checkpoint folder, so that several steps can read it."""
+    sc = frame.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return frame.checkpoint()
+
+
 def long(c: str):
     return F.col(c).cast("long").alias(c)
 
@@ -413,10 +421,10 @@ def rule_evidence_field(spark, sf_dir):
     SELECT k0, rd1, cd1 FROM joined WHERE rp AND (NOT cp OR rd1 IS DISTINCT FROM cd1) AND EXISTS (SELECT 1 FROM bad WHERE bad.g0 IS NOT DISTINCT FROM rd1)"""
 )
 def rule_evidence_segment(spark, sf_dir):
-    frame = aligned(spark, sf_dir)
+    # both steps read the aligned rows of this one join
+    frame = kept(aligned(spark, sf_dir).select("rp", "cp", "k0", "rv0", "cv0", "rd1", "cd1"))
     rule = {"name": "few leave", "metric": "amount", "measure": "removed_percent", "max": 20}
-    failed = rules.judged_segments(rules.segments(frame, AMOUNT, [1]), rule, 1).filter("status <> 'passed'")
-    return rules.segment_evidence(frame, failed, [1], "removed_percent").select("k0", "rd1", "cd1")
+    return rules.segment_evidence(frame, rule, AMOUNT, [1]).select("k0", "rd1", "cd1")
 
 
 # --- sources and life cycle ---------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybridge.functions.exact import differs, named, negative, typed
+from tallybridge.functions.exact import differs, exact_sums, named, negative, typed
 from tallybridge.functions.types import APPROXIMATE, sum_type
 
 
@@ -88,6 +88,10 @@ def total(value: Column, where: Column | None, dtype: T.DataType) -> Column:
     return F.coalesce(F.sum(value if where is None else F.when(where, value)), typed(0, dtype))
 
 
+def one(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0).cast("long")
+
+
 COUNTS = ("reference_rows", "current_rows", "added_rows", "removed_rows", "matched_rows", "dimension_changed_rows")
 AMOUNTS = ("reference_total", "current_total", "added_contribution", "removed_contribution", "matched_contribution")
 
@@ -95,31 +99,34 @@ AMOUNTS = ("reference_total", "current_total", "added_contribution", "removed_co
 def reconcile(aligned: DataFrame, metrics: list[Metric], dimensions: int = 0) -> DataFrame:
     """One row with all counts and, for each metric i, its totals: metric_changed_rows_i, reference_total_i ...
 
-    removed_contribution is negative: what the removed rows take away.
+    removed_contribution is negative: what the removed rows take away. Sums of binary fractions are the same for
+    any order of the rows.
     """
-    out = [
-        F.count("rp").alias("reference_rows"),
-        F.count("cp").alias("current_rows"),
-        F.count_if(added()).alias("added_rows"),
-        F.count_if(removed()).alias("removed_rows"),
-        F.count_if(matched()).alias("matched_rows"),
-        F.count_if(matched() & any_moved(range(dimensions))).alias("dimension_changed_rows"),
-    ]
+    counted = {
+        "reference_rows": F.col("rp").isNotNull(),
+        "current_rows": F.col("cp").isNotNull(),
+        "added_rows": added(),
+        "removed_rows": removed(),
+        "matched_rows": matched(),
+        "dimension_changed_rows": matched() & any_moved(range(dimensions)),
+    } | {f"metric_changed_rows_{i}": matched() & differs(F.col(f"rv{i}"), F.col(f"cv{i}")) for i in range(len(metrics))}
+    plain, doubles, out = {n: one(c) for n, c in counted.items()}, [], {n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in counted}
     for i, m in enumerate(metrics):
         rv, cv, t = F.col(f"rv{i}"), F.col(f"cv{i}"), m.dtype
-        out += [
-            F.count_if(matched() & differs(rv, cv)).alias(f"metric_changed_rows_{i}"),
-            total(rv, None, t).alias(f"reference_total_{i}"),
-            total(cv, None, t).alias(f"current_total_{i}"),
-            total(cv, added(), t).alias(f"added_contribution_{i}"),
-            negative(total(rv, removed(), t), t).alias(f"removed_contribution_{i}"),
-            total(cv - rv, matched(), t).alias(f"matched_contribution_{i}"),
-        ]
-    return aligned.agg(*out)
+        if m.approximate:
+            parts = [("reference_total", rv), ("current_total", cv), ("added_contribution", F.when(added(), cv)), ("removed_contribution", F.when(removed(), -rv)), ("matched_contribution", F.when(matched(), cv)), ("matched_contribution", F.when(matched(), -rv))]
+            doubles += [(f"{n}_{i}", c) for n, c in parts]
+            out |= {f"{n}_{i}": F.col(f"{n}_{i}") for n in AMOUNTS}
+            continue
+        plain |= {f"reference_total_{i}": rv, f"current_total_{i}": cv, f"added_contribution_{i}": F.when(added(), cv), f"removed_contribution_{i}": F.when(removed(), rv), f"matched_contribution_{i}": F.when(matched(), cv - rv)}
+        out |= {f"{n}_{i}": F.coalesce(F.col(f"{n}_{i}").cast(t), typed(0, t)) for n in AMOUNTS}
+        out[f"removed_contribution_{i}"] = negative(out[f"removed_contribution_{i}"], t)
+    summed = exact_sums(aligned, [], doubles, plain) if doubles else aligned.agg(*[F.sum(c).alias(n) for n, c in plain.items()])
+    return summed.select(*[c.alias(n) for n, c in out.items()])
 
 
 def metric_totals(aligned: DataFrame, metrics: list[Metric], dimensions: int = 0) -> DataFrame:
     """A row for each metric: metric, counts, metric_changed_rows, totals (as text where types differ) and delta."""
     wide = reconcile(aligned, metrics, dimensions)
-    rows = [F.struct(F.lit(m.name).alias("metric"), *COUNTS, F.col(f"metric_changed_rows_{i}").alias("metric_changed_rows"), *[F.col(f"{a}_{i}").cast("decimal(38,2)").alias(a) for a in AMOUNTS]) for i, m in enumerate(metrics)]
+    rows = [F.struct(F.lit(m.name).alias("metric"), *COUNTS, F.col(f"metric_changed_rows_{i}").alias("metric_changed_rows"), *[F.round(F.col(f"{a}_{i}"), 2).cast("decimal(38,2)").alias(a) if m.approximate else F.col(f"{a}_{i}").cast("decimal(38,2)").alias(a) for a in AMOUNTS]) for i, m in enumerate(metrics)]
     return wide.select(F.inline(F.array(*rows)))

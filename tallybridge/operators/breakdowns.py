@@ -2,7 +2,7 @@
 
 Categories are one or more dimension columns, kept as columns g0.. (or from_g0.., to_g0..). Grouping comes
 before any ranking. The most important 50 groups come from a top-k sort, and one more row sums up all
-others; nothing sorts all groups in one task.
+others; nothing sorts all groups in one task. Sums of binary fractions do not depend on the rows' order.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybridge.functions.exact import differs, magnitude, named, typed
+from tallybridge.functions.exact import differs, exact_sums, magnitude, named, typed
 from tallybridge.operators.alignment import Metric, any_moved, matched, total
 
 SHOWN = 50
@@ -39,32 +39,44 @@ def breakdown(aligned: DataFrame, metric: Metric, indices: list[int], metric_ind
 
 def summed(memberships: DataFrame, categories: list[str], metric: Metric) -> DataFrame:
     """Rows, totals and contribution by category, of rows with rn, cn, rt and ct."""
-    t = metric.dtype
-    sums = memberships.groupBy(*categories).agg(F.sum("rn").alias("reference_rows"), F.sum("cn").alias("current_rows"), F.sum("rt").cast(t).alias("reference_total"), F.sum("ct").cast(t).alias("current_total"))
-    return sums.withColumn("contribution", (F.col("current_total") - F.col("reference_total")).cast(t))
+    t, counts = metric.dtype, {"reference_rows": F.col("rn"), "current_rows": F.col("cn")}
+    if metric.approximate:
+        sums = exact_sums(memberships, categories, [("reference_total", F.col("rt")), ("current_total", F.col("ct"))], counts)
+    else:
+        sums = memberships.groupBy(*categories).agg(*[F.sum(c).alias(n) for n, c in counts.items()], F.sum("rt").cast(t).alias("reference_total"), F.sum("ct").cast(t).alias("current_total"))
+    out = sums.select(*categories, "reference_rows", "current_rows", "reference_total", "current_total")
+    return out.withColumn("contribution", (F.col("current_total") - F.col("reference_total")).cast(t))
 
 
 def breakdown_of_sides(reference: DataFrame, current: DataFrame, metric: Metric, dimensions: list[str]) -> DataFrame:
-    """The same as :func:`breakdown`, from the two sides as they are: each is grouped alone, without a join."""
-    cats, t = [f"g{n}" for n in range(len(dimensions))], metric.dtype
+    """The same as :func:`breakdown`, from the two sides as they are: each row counts for its own side, without a join.
 
-    def grouped(side: DataFrame, name: str) -> DataFrame:
-        groups = side.groupBy(*[named(d).alias(g) for g, d in zip(cats, dimensions, strict=True)]).agg(F.count("*").alias("n"), F.sum(metric.value).cast(t).alias("t"))
-        return groups.select(*cats, *[(F.col("n") if x == name else F.lit(0).cast("long")).alias(f"{x}n") for x in "rc"], *[(F.col("t") if x == name else typed(0, t)).alias(f"{x}t") for x in "rc"])
+    One exchange, on the categories: tasks add up their rows of both sides before it.
+    """
+    cats, t, long = [f"g{n}" for n in range(len(dimensions))], metric.dtype, F.lit(1).cast("long")
+
+    def side_rows(side: DataFrame, name: str) -> DataFrame:
+        here = lambda x, value, none: value if x == name else none
+        return side.select(*[named(d).alias(g) for g, d in zip(cats, dimensions, strict=True)], *[here(x, long, long - 1).alias(f"{x}n") for x in "rc"], *[here(x, metric.value, typed(0, t)).alias(f"{x}t") for x in "rc"])
 
-    return summed(grouped(reference, "r").unionByName(grouped(current, "c")), cats, metric)
+    return summed(side_rows(reference, "r").unionByName(side_rows(current, "c")), cats, metric)
 
 
 def ranked(groups: DataFrame, keys: list[str], order: list[Column], sums: list[str], shown: int = SHOWN) -> DataFrame:
-    """The first ``shown`` groups in order, and one row is_other for all further ones (keys null), with rank."""
-    top = groups.orderBy(*order).limit(shown)
-    # ``top`` has at most ``shown`` rows, so the hint has a fixed bound
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    rest = groups.alias("a").join(F.broadcast(top.select(keys).alias("t")), same, "left_anti")
+    """The first ``shown`` groups in order, and one row is_other for all further ones (keys null), with rank.
+
+    The others are all groups together without the first ones, so the groups are not joined or filtered again:
+    both sums read what one exchange has grouped. Rounding of binary fractions stays far below what
+    reconciliation allows for it.
+    """
     types = dict(groups.dtypes)
-    other = rest.agg(F.count("*").alias("n"), *[F.sum(s).cast(types[s]).alias(s) for s in sums]).filter("n > 0")
+    numbered = groups.orderBy(*order).limit(shown).withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("is_other", F.lit(False))
+    n = F.count("*").alias("n")
+    whole = groups.agg(n, *[F.sum(s).cast(types[s]).alias(s) for s in sums])
+    first = numbered.agg(n, *[F.sum(s).cast(types[s]).alias(s) for s in sums])
+    less = first.select((F.lit(0).cast("long") - F.col("n")).alias("n"), *[(F.lit(0).cast(types[s]) - F.col(s)).cast(types[s]).alias(s) for s in sums])
+    other = whole.unionByName(less).agg(F.sum("n").alias("n"), *[F.sum(s).cast(types[s]).alias(s) for s in sums]).filter("n > 0")
     other = other.select(*[F.lit(None).cast(types[k]).alias(k) for k in keys], *sums, F.lit(True).alias("is_other"), F.lit(shown + 1).alias("rank"))
-    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("is_other", F.lit(False))
     return numbered.select(other.columns).unionByName(other)
 
 

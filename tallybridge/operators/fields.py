@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybridge.functions.exact import differs, is_within
+from tallybridge.functions.exact import differs, within_sql
 from tallybridge.functions.types import APPROXIMATE, decimal_parts
 from tallybridge.operators.alignment import matched
 from tallybridge.operators.breakdowns import ranked
@@ -31,44 +31,47 @@ class Field:
         return COMMON if self.kind == "BOOLEAN" else (*COMMON, "increased_rows", "decreased_rows")
 
 
-def conditions(field: Field, before: Column, after: Column) -> dict[str, Column]:
+def conditions_sql(field: Field, before: str, after: str) -> dict[str, str]:
     """Each counter's condition; none is ever null, so that their negations hold as well."""
-    distinct, both = differs(before, after), before.isNotNull() & after.isNotNull()
-    near = F.lit(False)
+    equal, both, near = f"{before} <=> {after}", f"({before} IS NOT NULL AND {after} IS NOT NULL)", "false"
     if field.tolerance is not None:
         if field.kind in APPROXIMATE:
-            near = F.abs(after.cast("double") - before.cast("double")) <= F.lit(float(field.tolerance))
+            near = f"abs(CAST({after} AS DOUBLE) - CAST({before} AS DOUBLE)) <= CAST('{float(field.tolerance)!r}' AS DOUBLE)"
         else:
-            near = is_within(before, after, (decimal_parts(field.kind) or (0, 0))[1], field.tolerance)
-        near = F.coalesce(distinct & both & near, F.lit(False))
-    changed = distinct & ~near
-    sure = lambda c: F.coalesce(c, F.lit(False))
+            near = within_sql(before, after, (decimal_parts(field.kind) or (0, 0))[1], field.tolerance)
+        near = f"coalesce(NOT ({equal}) AND {both} AND {near}, false)"
+    changed = f"(NOT ({equal}) AND NOT ({near}))"
     out = {
         "changed_rows": changed,
-        "unchanged_rows": ~changed,
-        "exact_match_rows": before.eqNullSafe(after),
+        "unchanged_rows": f"NOT {changed}",
+        "exact_match_rows": equal,
         "within_tolerance_rows": near,
-        "became_null": before.isNotNull() & after.isNull(),
-        "from_null": before.isNull() & after.isNotNull(),
-        "both_null": before.isNull() & after.isNull(),
-        "value_changed_rows": both & changed,
+        "became_null": f"{before} IS NOT NULL AND {after} IS NULL",
+        "from_null": f"{before} IS NULL AND {after} IS NOT NULL",
+        "both_null": f"{before} IS NULL AND {after} IS NULL",
+        "value_changed_rows": f"{both} AND {changed}",
     }
     if field.kind == "VARCHAR":
-        out |= {"became_blank": sure(after == "") & differs(before, F.lit("")), "from_blank": sure(before == "") & differs(after, F.lit(""))}
+        out |= {"became_blank": f"coalesce({after} = '', false) AND NOT ({before} <=> '')", "from_blank": f"coalesce({before} = '', false) AND NOT ({after} <=> '')"}
     elif field.kind != "BOOLEAN":
-        out |= {"increased_rows": sure(after > before) & changed, "decreased_rows": sure(after < before) & changed}
+        out |= {"increased_rows": f"coalesce({after} > {before}, false) AND {changed}", "decreased_rows": f"coalesce({after} < {before}, false) AND {changed}"}
     return out
 
 
+def field_conditions_sql(fields: list[Field]) -> list[dict[str, str]]:
+    return [conditions_sql(f, f"rf{i}", f"cf{i}") for i, f in enumerate(fields)]
+
+
 def field_conditions(fields: list[Field]) -> list[dict[str, Column]]:
-    return [conditions(f, F.col(f"rf{i}"), F.col(f"cf{i}")) for i, f in enumerate(fields)]
+    return [{name: F.expr(c) for name, c in own.items()} for own in field_conditions_sql(fields)]
+
+
+def any_changed_sql(fields: list[Field]) -> str:
+    return " OR ".join(c["changed_rows"] for c in field_conditions_sql(fields)) or "false"
 
 
 def any_changed(fields: list[Field]) -> Column:
-    out = F.lit(False)
-    for c in field_conditions(fields):
-        out = out | c["changed_rows"]
-    return out
+    return F.expr(any_changed_sql(fields))
 
 
 def field_counters(aligned: DataFrame, fields: list[Field]) -> DataFrame:

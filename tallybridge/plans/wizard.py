@@ -16,7 +16,7 @@ from tallybridge.functions.exact import exact_session, named
 from tallybridge.functions.types import is_numeric, may_be_compared, may_be_dimension, may_be_key, may_have_transitions
 from tallybridge.operators import alignment, populations
 from tallybridge.operators.populations import OPERATORS
-from tallybridge.operators.rules import FIELD_COUNTS, FIELD_PERCENTS, MEASURES
+from tallybridge.operators.rules import FIELD_MEASURES, MEASURES
 from tallybridge.plans.investigate import apply_scope, check_contract, check_rows, clean_errors, load_sides, metrics_of
 from tallybridge.plans.spec import CSV_OPTIONS, EXPORT_ROWS, EXPORTS, SIDES, check_spec, load_spec
 
@@ -96,7 +96,7 @@ def rule_answers(talk: Dialogue, cfg: dict, schema: dict[str, str]) -> dict:
     about = talk.choose("Rule on", [*(f"metric {m}" for m in metrics), *(f"field {f}" for f in cfg.get("compare_fields", []))])[0]
     kind, name = about.split(" ", 1)
     rule[kind] = name
-    rule["measure"] = talk.choose("Measure", list(MEASURES) if kind == "metric" else [*FIELD_COUNTS, *FIELD_PERCENTS])[0]
+    rule["measure"] = talk.choose("Measure", list(MEASURES) if kind == "metric" else list(FIELD_MEASURES))[0]
     for bound in ("min", "max"):
         if answer := talk.text(f"{bound} (empty for none): "):
             rule[bound] = answer

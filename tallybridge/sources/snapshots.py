@@ -260,7 +260,7 @@ def read_snapshot(spark: SparkSession, source: str | list[str], csv_options: dic
     counts = [counts.get(u, 0) // times.get(u, 1) for u in uris]
     parsing = {i: g.parsing for g in groups for i in g.files}
     profile = {
-        "source_schema": dict(schema), "column_mapping": mapping or {}, "sha256": joined_digest([(f.path, h) for f, h in zip(files, hashes, strict=True)]), "parsing": [parsing[i] for i in range(len(files))],
+        "source_schema": dict(schema), "stored": list(first), "column_mapping": mapping or {}, "sha256": joined_digest([(f.path, h) for f, h in zip(files, hashes, strict=True)]), "parsing": [parsing[i] for i in range(len(files))],
         "files": [{"path": f.path, "partitions": f.folders, "rows": n, "sha256": h} for f, n, h in zip(files, counts, hashes, strict=True)], "file_count": len(files), "row_count": sum(counts),
         "input_kind": "list" if isinstance(source, list) else "directory" if len(files) > 1 or files[0].path != source else "file",
     }

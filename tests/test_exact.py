@@ -2,6 +2,7 @@ from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tallybridge.errors import CompareError
 from tallybridge.functions import exact
@@ -31,7 +32,7 @@ def test_comparisons_never_round(spark, scale):
     with exact_session(spark):
         df = spark.createDataFrame([(format(v, "f"),) for v in values] + [(None,)], "t string").select("t", F.col("t").cast(f"decimal(38,{scale})").alias("v"))
         tests = [(op, b) for op in OPERATORS for b in bounds]
-        rows = df.select("t", *[exact.compared(F.col("v"), scale, op, b).alias(f"c{i}") for i, (op, b) in enumerate(tests)]).collect()
+        rows = df.select("t", *[F.expr(exact.compared_sql("v", DecimalType(38, scale), op, b)).alias(f"c{i}") for i, (op, b) in enumerate(tests)]).collect()
     for r in rows:
         for i, (op, b) in enumerate(tests):
             want = None if r.t is None else OPERATORS[op](Decimal(r.t), b)
@@ -45,8 +46,8 @@ def test_tolerances_at_the_limits(spark, scale):
     allowed = [Decimal(0), unit, Decimal("0.005"), most, most + unit, 2 * most - unit, 2 * most]
     with exact_session(spark):
         df = spark.createDataFrame([(format(a, "f"), format(b, "f")) for a in values for b in values], "x string, y string")
-        cast = lambda c: F.col(c).cast(f"decimal(38,{scale})")
-        rows = df.select("x", "y", *[exact.is_within(cast("x"), cast("y"), scale, t).alias(f"c{i}") for i, t in enumerate(allowed)]).collect()
+        cast = lambda c: f"CAST({c} AS DECIMAL(38,{scale}))"
+        rows = df.select("x", "y", *[F.expr(exact.within_sql(cast("x"), cast("y"), scale, t)).alias(f"c{i}") for i, t in enumerate(allowed)]).collect()
         for r in rows:
             for i, t in enumerate(allowed):
                 assert r[f"c{i}"] == (abs(Decimal(r.x) - Decimal(r.y)) <= t), (r.x, r.y, t)

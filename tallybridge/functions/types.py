@@ -91,7 +91,7 @@ def logical_name(dtype: T.DataType) -> str:
         return "STRUCT(" + ", ".join(f"{f.name} {logical_name(f.dataType)}" for f in dtype.fields) + ")"
     if isinstance(dtype, T.MapType):
         return f"MAP({logical_name(dtype.keyType)}, {logical_name(dtype.valueType)})"
-    if dtype.typeName().startswith("time("):
+    if isinstance(dtype, T.TimeType):
         return "TIME"
     plain = {T.ByteType: "TINYINT", T.ShortType: "SMALLINT", T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.TimestampNTZType: "TIMESTAMP", T.TimestampType: "TIMESTAMP WITH TIME ZONE", T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN", T.FloatType: "FLOAT", T.DoubleType: "DOUBLE", T.DateType: "DATE", T.BinaryType: "BLOB"}
     return plain.get(type(dtype), dtype.simpleString().upper())

@@ -6,8 +6,9 @@ repeated keys. Counts are bigint and amounts decimal(38,2) in both dialects.
 
 from __future__ import annotations
 
+import atexit
 import json
-import tempfile
+import shutil
 import uuid
 from collections.abc import Callable
 from decimal import Decimal
@@ -16,12 +17,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybridge.errors import CompareError
 from tallybridge.functions.exact import exact_session, magnitude
 from tallybridge.operators import alignment, breakdowns, fields, populations, rules
 from tallybridge.operators.alignment import Metric
 from tallybridge.operators.fields import Field
 from tallybridge.plans.diagnose import validate
-from tallybridge.plans.investigate import investigate
+from tallybridge.plans.investigate import investigate, selector_sql
+from tallybridge.sources.files import shared_folder
 from tallybridge.sources.snapshots import read_snapshot
 
 ORDERS_REFERENCE = """
@@ -101,9 +104,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def kept(frame: DataFrame) -> DataFrame:
     """The frame, computed once and held in the checkpoint folder, so that several steps can read it."""
-    sc = frame.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -159,6 +160,16 @@ def reconcile_composite_key(spark, sf_dir):
     return alignment.metric_totals(alignment.align(*sides, LINE_KEY, [price]), [price])
 
 
+MASS = Metric("amount_f", "amount_f", "DOUBLE")
+#: The doubles of orders have two decimal places, so their decimals sum to the same once both are rounded there.
+AS_MONEY = CTE.replace("r.amount AS rv, c.amount AS cv", "CAST(r.amount_f AS DECIMAL(18,2)) AS rv, CAST(c.amount_f AS DECIMAL(18,2)) AS cv")
+
+
+@query(AS_MONEY + "SELECT 'amount_f' AS metric, " + TOTALS.format(rv="rv", cv="cv", moved=MOVED))
+def reconcile_double(spark, sf_dir):
+    return alignment.metric_totals(aligned(spark, sf_dir, [MASS]), [MASS], 3)
+
+
 # --- breakdowns and movements -------------------------------------------------------------------------
 
 
@@ -201,6 +212,15 @@ def breakdown_top50_other(spark, sf_dir):
     return by_side(spark, sf_dir, [1], 50)
 
 
+@query(
+    breakdown_sql(["status"], "", None)
+    .replace("sum(amount) AS t", "sum(CAST(amount_f AS DECIMAL(18,2))) AS t")
+)
+def breakdown_double(spark, sf_dir):
+    groups = breakdowns.breakdown_of_sides(*snapshots(spark, sf_dir), MASS, ["status"])
+    return groups.select("g0", "reference_rows", "current_rows", *[F.round(c, 2).cast(MONEY).alias(c) for c in ("reference_total", "current_total", "contribution")])
+
+
 @query(breakdown_sql(["customer_id"], "", None).rsplit(" SELECT ", 1)[0] + " SELECT CAST(sum(contribution) AS DECIMAL(38,2)) AS contribution, CAST(sum(abs(contribution)) AS DECIMAL(38,2)) AS size FROM groups")
 def breakdown_identity(spark, sf_dir):
     groups = by_side(spark, sf_dir, [1])
@@ -303,6 +323,8 @@ FILTERS = {
     "filter_in": ([{"column": "priority", "operator": "in", "value": ["1-URGENT", "2-HIGH"]}], "priority IN ('1-URGENT', '2-HIGH')"),
     "filter_bounds_exact": ([{"column": "amount", "operator": "gt", "value": "100000.005"}, {"column": "amount", "operator": "lte", "value": "250000.10"}], "amount > 100000.005 AND amount <= 250000.10"),
     "filter_date": ([{"column": "order_date", "operator": "gte", "value": "1995-01-01"}, {"column": "order_date", "operator": "lt", "value": "1998-01-01"}], "order_date >= DATE '1995-01-01' AND order_date < DATE '1998-01-01'"),
+    "filter_whole_numbers": ([{"column": "customer_id", "operator": "gte", "value": "150.5"}, {"column": "order_id", "operator": "lt", "value": "99999999999999999999"}, {"column": "customer_id", "operator": "lte", "value": 900}], "customer_id >= 150.5 AND customer_id <= 900"),
+    "filter_double": ([{"column": "amount_f", "operator": "gt", "value": 100000.5}, {"column": "status", "operator": "in", "value": ["F", "P"]}], "amount_f > CAST(100000.5 AS DOUBLE) AND status IN ('F', 'P')"),
     "filter_nulls": ([{"column": "priority", "operator": "is_null"}, {"column": "note", "operator": "is_not_null"}], "priority IS NULL AND note IS NOT NULL"),
 }
 SCOPE = "SELECT '{0}' AS side, count(*) AS total_rows, count(*) FILTER (WHERE {1}) AS included_rows, count(*) - count(*) FILTER (WHERE {1}) AS excluded_rows FROM {0}"
@@ -377,6 +399,29 @@ def segment_rule_counts(spark, sf_dir):
     return judged.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "undefined")])
 
 
+@query(CTE.rstrip() + SEGMENTS.format(2) + " SELECT g0, reference_total, current_total, CASE WHEN abs(current_total - reference_total) > 1234567.895 THEN 'failed' WHEN current_total - reference_total = 0 THEN 'passed' ELSE 'passed' END AS status FROM segments")
+def segment_rule_amounts(spark, sf_dir):
+    rule = {"name": "small steps", "metric": "amount", "measure": "abs_delta", "max": "1234567.895"}
+    return rules.judged_segments(rules.segments(aligned(spark, sf_dir), AMOUNT, [2]), rule, 1).select("g0", "reference_total", "current_total", "status")
+
+
+@query(CTE.rstrip() + SEGMENTS.format(2) + " SELECT g0, added_rows, CASE WHEN added_rows > 100 THEN 'failed' ELSE 'passed' END AS status FROM segments WHERE g0 IS NULL")
+def segment_rule_selected(spark, sf_dir):
+    rule = {"name": "few unknown", "metric": "amount", "measure": "added_rows", "max": 100, "group_by": ["priority"], "where": {"priority": None}}
+    groups = rules.segments(aligned(spark, sf_dir), AMOUNT, [2]).filter(selector_sql(rule, KINDS))
+    return rules.judged_segments(groups, rule, 1).select("g0", "added_rows", "status")
+
+
+@query(
+    CTE.rstrip() + SEGMENTS.format(2) + """, bad AS (SELECT g0 FROM segments WHERE reference_total = 0 OR abs(current_total - reference_total) * 100 > 5 * abs(reference_total))
+    SELECT k0, rd2, cd2 FROM joined WHERE rp AND EXISTS (SELECT 1 FROM bad WHERE bad.g0 IS NOT DISTINCT FROM rd2) OR cp AND EXISTS (SELECT 1 FROM bad WHERE bad.g0 IS NOT DISTINCT FROM cd2)"""
+)
+def rule_evidence_both_sides(spark, sf_dir):
+    frame = kept(aligned(spark, sf_dir).select("rp", "cp", "k0", "rv0", "cv0", "rd2", "cd2"))
+    rule = {"name": "steady", "metric": "amount", "measure": "abs_percent_change", "max": 5}
+    return rules.segment_evidence(frame, rule, AMOUNT, [2]).select("k0", "rd2", "cd2")
+
+
 EVIDENCE_ORDER = "abs(contribution) DESC, k0"
 EVIDENCE = {
     "added": "NOT rp",
@@ -431,10 +476,13 @@ def rule_evidence_segment(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> Path:
-    """A new folder below the one that the session shares, or in local sessions without one a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = Path(shared.removeprefix("file://"), f"snapshot-{uuid.uuid4().hex}") if shared else Path(tempfile.mkdtemp(prefix="snapshot-"))
+    """A new folder for derived inputs below the shared one, gone when the driver ends; snapshots are files on mounted paths."""
+    shared = shared_folder(spark)
+    if "://" in shared.removeprefix("file://"):
+        raise RuntimeError("these queries need spark.checkpoint.dir on a mounted path, as snapshots are local files")
+    folder = Path("/" + shared.removeprefix("file:").lstrip("/"), f"snapshot-{uuid.uuid4().hex}")
     folder.mkdir(parents=True, exist_ok=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
@@ -455,6 +503,43 @@ def source_csv_sniffed(spark, sf_dir):
     return found.select(F.col("order_id").cast("long"), F.col("customer_id").cast("long"), "status")
 
 
+REMARK = "concat('say \"', o_orderpriority, '\"; ', o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN {line} ELSE '' END)"
+
+
+@query(f"SELECT o_orderkey AS order_id, {REMARK.format(line='chr(10)')} AS remark FROM orders")
+def source_csv_quoted(spark, sf_dir):
+    """Quotes, delimiters and line ends inside values; the dialect is found in all bytes."""
+    path = scratch(spark) / "rows"
+    rows = view(spark, sf_dir, "orders", f"SELECT o_orderkey AS order_id, {REMARK.format(line='chr(10)')} AS remark FROM orders")
+    rows.write.csv(str(path), header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_snapshot(spark, str(path)).rows
+
+
+CLOCK = "concat(lpad(CAST(o_orderkey % 24 AS {text}), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS {text}), 2, '0'), ':05')"
+
+
+@query(f"SELECT clock, count(*) AS orders, count(DISTINCT o_orderstatus) AS statuses FROM (SELECT *, {CLOCK.format(text='VARCHAR')} AS clock FROM orders) GROUP BY clock")
+def source_csv_time(spark, sf_dir):
+    """Times of day are found in a CSV file, and group as such."""
+    path = scratch(spark) / "rows"
+    view(spark, sf_dir, "orders", f"SELECT o_orderkey AS order_id, o_orderstatus AS status, {CLOCK.format(text='STRING')} AS clock FROM orders").write.csv(str(path), header=True)
+    found = read_snapshot(spark, str(path))
+    if found.schema["clock"] != "TIME":
+        raise CompareError("the column of times was read as another type")
+    return found.rows.groupBy("clock").agg(F.count("*").alias("orders"), F.countDistinct("status").alias("statuses")).select(F.col("clock").cast("string").alias("clock"), "orders", "statuses")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem")
+def source_stored_folders(spark, sf_dir):
+    """Folder values that the files store too, compared on every row in the pass that counts rows."""
+    folder = scratch(spark) / "rows"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "l_returnflag AS flag", "l_returnflag AS part")
+    rows.write.partitionBy("part").parquet(str(folder))
+    for p in folder.glob("part=*"):
+        p.rename(folder / p.name.replace("part=", "flag="))
+    return read_snapshot(spark, str(folder)).rows.select("l_orderkey", "l_linenumber", "flag")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_returnflag AS flag FROM lineitem")
 def source_hive_folders(spark, sf_dir):
     folder = scratch(spark)
@@ -485,7 +570,7 @@ def settings(folder: Path, **more: object) -> Path:
 def pair_files(spark: SparkSession, sf_dir: str) -> Path:
     folder = scratch(spark)
     for name, rows in zip(("reference", "current"), snapshots(spark, sf_dir), strict=True):
-        rows.select("order_id", "amount", "amount_f", "status", "priority").write.parquet(str(folder / name))
+        rows.select("order_id", "amount", "amount_f", "status", "priority", "note").write.parquet(str(folder / name))
     return folder
 
 
@@ -511,3 +596,48 @@ def validation_run(spark, sf_dir):
     found = validate(spark, settings(folder, key=["order_id", "priority"]), folder / "out")["checks"]
     counts = [c["details"]["affected_rows"] for c in found if (c["side"], c["check"]) == ("reference", "null_key")]
     return spark.createDataFrame([(n,) for n in counts], "null_key long")
+
+
+@query(CTE + "SELECT 'note' AS field, 'percent_changed' AS measure, count(*) FILTER (WHERE rf0 IS DISTINCT FROM cf0) AS numerator, count(*) AS denominator, CASE WHEN 100 * count(*) FILTER (WHERE rf0 IS DISTINCT FROM cf0) > 30 * count(*) THEN 'failed' ELSE 'passed' END AS status FROM joined WHERE rp AND cp UNION ALL SELECT 'priority', 'became_null', count(*) FILTER (WHERE rd2 IS NOT NULL AND cd2 IS NULL), count(*), CASE WHEN count(*) FILTER (WHERE rd2 IS NOT NULL AND cd2 IS NULL) > 5 THEN 'failed' ELSE 'passed' END FROM joined WHERE rp AND cp")
+def investigation_field_rules(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    listed = [{"name": "notes", "field": "note", "measure": "percent_changed", "max": 30}, {"name": "kept", "field": "priority", "measure": "became_null", "max": 5}]
+    found = investigate(spark, settings(folder, compare_fields=["note", "priority"], rules=listed), folder / "out")["rule_checks"]["results"]
+    return spark.createDataFrame([(r["field"], r["measure"], r["numerator"], r["denominator"], r["status"]) for r in found], "field string, measure string, numerator long, denominator long, status string")
+
+
+@query("SELECT * FROM (VALUES ('reference', 'amount', 'failed', 'type_mismatch'), ('current', 'amount', 'failed', 'type_mismatch'), ('reference', 'gone', 'failed', 'missing_column'), ('current', 'gone', 'failed', 'missing_column'), ('reference', 'order_id', 'passed', NULL), ('current', 'order_id', 'passed', NULL)) t(side, name, status, issue)")
+def investigation_contract(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    contract = {"columns": {"amount": "decimal(9,2)", "gone": None, "order_id": "bigint"}}
+    found = investigate(spark, settings(folder, schema=contract), folder / "out")["schema_checks"]["results"]
+    return spark.createDataFrame([(r["side"], r["column"], r["status"], r["issue"]) for r in found], "side string, name string, status string, issue string")
+
+
+@query(CTE + "SELECT k0, CAST(coalesce(cv, 0) - coalesce(rv, 0) AS DECIMAL(38,2)) AS contribution FROM joined WHERE NOT rp ORDER BY abs(contribution) DESC, k0")
+def export_added(spark, sf_dir):
+    """An export of all added rows, read back from the file that tasks wrote in parts."""
+    folder = pair_files(spark, sf_dir)
+    investigate(spark, settings(folder, report={"evidence_exports": [{"kind": "added"}]}), folder / "out")
+    rows = read_snapshot(spark, str(folder / "out" / "added.csv"), {"types": {"k0": "BIGINT", "contribution": "DECIMAL(38,2)"}}).rows
+    return rows.select("k0", "contribution")
+
+
+@query(CTE + "SELECT count(*) FILTER (WHERE NOT rp) AS added_rows, count(*) FILTER (WHERE NOT cp) AS removed_rows, count(*) FILTER (WHERE rp AND cp AND rd0 IS DISTINCT FROM cd0) AS moved_rows, CAST(sum(rv) AS DECIMAL(38,2)) AS reference_total, CAST(sum(cv) AS DECIMAL(38,2)) AS current_total FROM (SELECT * REPLACE (coalesce(rv > 50000, false) AS rp, coalesce(cv > 50000, false) AS cp, CASE WHEN rv > 50000 THEN rv END AS rv, CASE WHEN cv > 50000 THEN cv END AS cv) FROM joined) WHERE rp OR cp")
+def investigation_replay(spark, sf_dir):
+    """The statements of a filtered run, executed in a fresh session."""
+    folder = pair_files(spark, sf_dir)
+    investigate(spark, settings(folder, dimensions=["status"], filters=[{"column": "amount", "operator": "gt", "value": 50000}]), folder / "out")
+    fresh = spark.newSession()
+    for statement in (folder / "out" / "analysis.sql").read_text().rstrip().rstrip(";").split(";\n\n"):
+        fresh.sql("\n".join(x for x in statement.splitlines() if not x.startswith("--")))
+    row = fresh.sql("SELECT t.added_rows, t.removed_rows, m.rows AS moved_rows, t.reference_total, t.current_total FROM reconciliation t, reclassification_0 m").first()
+    return spark.createDataFrame([tuple(row)], "added_rows long, removed_rows long, moved_rows long, reference_total decimal(38,2), current_total decimal(38,2)")
+
+
+@query("SELECT side, name, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status, n AS affected_rows FROM (SELECT 'reference' AS side, 'null_key' AS name, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS n FROM orders WHERE o_orderkey % 10 <> 7 UNION ALL SELECT 'current', 'null_key', count(*) FILTER (WHERE o_orderpriority = '5-LOW' OR o_orderkey % 13 = 0) FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT s, c, 0 FROM (VALUES ('reference'), ('current')) a(s), (VALUES ('null_metric'), ('nonfinite_metric'), ('duplicate_key')) b(c))")
+def validation_checks(spark, sf_dir):
+    folder = pair_files(spark, sf_dir)
+    found = validate(spark, settings(folder, key=["order_id", "priority"]), folder / "out")["checks"]
+    rows = [(c["side"], c["check"], c["status"], c["details"]["affected_rows"]) for c in found if isinstance(c["details"], dict) and "affected_rows" in c["details"]]
+    return spark.createDataFrame(rows, "side string, name string, status string, affected_rows long")

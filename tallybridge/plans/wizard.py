@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -18,8 +19,10 @@ from tallybridge.operators import alignment, populations
 from tallybridge.operators.populations import OPERATORS
 from tallybridge.operators.rules import FIELD_MEASURES, MEASURES
 from tallybridge.plans.investigate import apply_scope, check_contract, check_rows, clean_errors, load_sides, metrics_of
-from tallybridge.plans.spec import CSV_OPTIONS, EXPORT_ROWS, EXPORTS, SIDES, check_spec, load_spec
+from tallybridge.plans.spec import CSV_OPTIONS, EXPORT_ROWS, EXPORTS, SIDES, check_spec, filter_of, load_spec
+from tallybridge.sources.files import inventory
 
+CANCELLED = "Configuration cancelled"
 Ask, Tell = Callable[[str], str], Callable[[str], None]
 
 
@@ -32,7 +35,7 @@ class Dialogue:
     def text(self, question: str) -> str:
         answer = self.ask(question).strip()
         if answer.lower() == "quit":
-            raise CompareError("Configuration cancelled")
+            raise CompareError(CANCELLED)
         return answer
 
     def yes(self, question: str) -> bool:
@@ -59,8 +62,28 @@ class Dialogue:
             self.tell("Please give a positive whole number.")
 
     def value(self, question: str, kind: str) -> object:
-        answer = self.text(question)
-        return {"true": True, "false": False}.get(answer.lower(), answer) if kind == "BOOLEAN" else answer
+        return typed(self.text(question), kind)
+
+    def until(self, attempt: Callable[[], object]) -> object:
+        """What an attempt at some answers gives; a refusal is told, and the questions come again."""
+        while True:
+            try:
+                return attempt()
+            except CompareError as e:
+                if str(e).startswith(CANCELLED):
+                    raise
+                self.tell(f"{e}. Please answer again.")
+
+
+def typed(answer: str, kind: str) -> object:
+    return {"true": True, "false": False}.get(answer.lower(), answer) if kind == "BOOLEAN" else answer
+
+
+def offered(kind: str) -> list[str]:
+    """The filter operators that a column's type allows."""
+    ordered = is_numeric(kind) or kind == "DATE"
+    compares = ordered or kind in ("VARCHAR", "BOOLEAN")
+    return [o for o in OPERATORS if o.startswith("is_") or (ordered if o in populations.BOUNDS else compares)]
 
 
 def key_problems(rows, key: list[str]) -> bool:
@@ -84,12 +107,41 @@ def csv_answers(talk: Dialogue) -> dict:
     out: dict = {}
     for option in talk.choose("CSV options to set", list(CSV_OPTIONS), many=True, least=0):
         if option == "types":
-            out["types"] = dict(p.split(":", 1) for p in talk.text("Types as column:type, comma-separated: ").split(",") if ":" in p)
+            out["types"] = dict(p.strip().split(":", 1) for p in re.split(r",(?![^(]*\))", talk.text("Types as column:type, comma-separated: ")) if ":" in p)
         else:
-            out[option] = talk.yes("Is there a header?") if option == "header" else talk.text(f"{option}: ")
+            out[option] = talk.yes("Is there a header?") if option == "header" else {"\\t": "\t"}.get(answer := talk.text(f"{option} (\\t for a tab): "), answer)
     return out
 
 
+def filter_answers(talk: Dialogue, filters: list[dict], schemas: list[dict[str, str]], common: list[str]) -> dict:
+    """One filter that fits its column together with those before it; its value is asked for until it does."""
+    column = talk.choose("Column", common)[0]
+    kind = schemas[0][column]
+    item: dict = {"column": column, "operator": talk.choose("Operator", offered(kind))[0]}
+
+    def attempt() -> dict:
+        made = dict(item)
+        if item["operator"] == "in":
+            made["value"] = [typed(v.strip(), kind) for v in talk.text("Values, comma-separated: ").split(",")]
+        elif not item["operator"].startswith("is_"):
+            made["value"] = talk.value("Value: ", kind)
+        populations.scope_sql([*filters, filter_of(made)], *schemas)
+        return made
+
+    return talk.until(attempt)
+
+
+def preview(talk: Dialogue, filters: list[dict], sides: dict) -> None:
+    """How many rows the filters so far select; no values are shown."""
+    where, some = populations.scope_condition(filters, *[sides[s].schema for s in SIDES]), False
+    for side in SIDES:
+        counts = populations.scope_counts(sides[side].rows, where).first()
+        some = some or counts["included_rows"] > 0
+        talk.tell(f"{side}: {counts['included_rows']} of {counts['total_rows']} rows selected, {counts['excluded_rows']} left out")
+    if not some:
+        talk.tell("No row of either side is selected, so keys cannot be told from chance.")
+
+
 def rule_answers(talk: Dialogue, cfg: dict, schema: dict[str, str]) -> dict:
     rule: dict = {"name": talk.text("Rule name: ")}
     metrics = [m["name"] for m in cfg["metrics"]]
@@ -119,31 +171,39 @@ def init_config(spark: SparkSession, reference: str, current: str, out: str | Pa
     base = Path.cwd()
     cfg: dict = {"mode": "snapshots", "reference": str((base / reference).resolve()), "current": str((base / current).resolve()), "key": ["?"], "metrics": [{"name": "rows", "aggregate": "count"}]}
     with clean_errors(), exact_session(spark):
-        for side in SIDES:
-            if str(cfg[side]).lower().endswith(".csv") and talk.yes(f"Set CSV options for {side}?"):
-                cfg.setdefault("csv", {})[side] = csv_answers(talk)
-        sides = load_sides(spark, check_spec(cfg, base))
-        if talk.yes("Rename columns?"):
+        def loaded() -> dict:
+            for side in SIDES:
+                if any(f.is_csv for f in inventory(cfg[side])) and talk.yes(f"Set CSV options for {side}?"):
+                    cfg.setdefault("csv", {})[side] = csv_answers(talk)
+            try:
+                return load_sides(spark, check_spec(cfg, base))
+            except CompareError:
+                if not cfg.pop("csv", None):
+                    raise CompareError(CANCELLED + ": the inputs cannot be read") from None
+                raise
+
+        def with_names() -> dict:
             for side in SIDES:
                 pairs = [p.split(":", 1) for p in talk.text(f"{side} renames as old:new, comma-separated (empty for none): ").split(",") if ":" in p]
                 if pairs:
                     cfg.setdefault("column_mapping", {})[side] = {a.strip(): b.strip() for a, b in pairs}
-            sides = load_sides(spark, check_spec(cfg, base))
+            try:
+                return load_sides(spark, check_spec(cfg, base))
+            except CompareError:
+                cfg.pop("column_mapping", None)
+                raise
+
+        sides = talk.until(loaded)
+        if talk.yes("Rename columns?"):
+            sides = talk.until(with_names)
         for side in SIDES:
             tell(f"{side}: {sides[side].profile['row_count']} rows; " + ", ".join(f"{c} {t}" for c, t in sides[side].schema.items()))
         a, b = (sides[s].schema for s in SIDES)
         common = [c for c in a if a[c] == b.get(c)]
-        while talk.yes("Add a filter?"):
-            column = talk.choose("Column", common)[0]
-            item: dict = {"column": column, "operator": talk.choose("Operator", list(OPERATORS))[0]}
-            if item["operator"] == "in":
-                item["value"] = [v.strip() for v in talk.text("Values, comma-separated: ").split(",")]
-            elif not item["operator"].startswith("is_"):
-                item["value"] = talk.value("Value: ", a[column])
-            cfg.setdefault("filters", []).append(item)
-        scope = apply_scope(check_spec(cfg, base), sides)
-        for side, counts in scope["inputs"].items():
-            tell(f"{side}: {counts['included_rows']} of {counts['total_rows']} rows selected")
+        while common and talk.yes("Add a filter?"):
+            cfg.setdefault("filters", []).append(filter_answers(talk, cfg.get("filters", []), [a, b], common))
+            preview(talk, cfg["filters"], sides)
+        apply_scope(check_spec(cfg, base), sides)
         keys = [c for c in common if may_be_key(a[c])]
         while True:
             cfg["key"] = talk.choose("Key columns", keys, many=True)

@@ -94,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": vafile.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op11_spelling": spelling.SQL,
     "op13_fill_in_middle": fim.SQL,
 }

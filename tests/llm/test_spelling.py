@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -51,9 +52,13 @@ def brute_groups(words):
 
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted(map(tuple, spelling.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = spelling.report(spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute_groups(brute_words(rows))
-    assert got == want and any(r[1] for r in want) and len(want) > 1000
+    assert sorted(map(tuple, got.collect())) == want and any(r[1] for r in want) and len(want) > 1000
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    sql = con.sql(spelling.SQL)
+    assert sorted(sql.fetchall()) == want and sql.columns == got.columns
 
 
 def test_odd_texts(spark):

@@ -33,3 +33,24 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 50 < got.count() <= 200 and "ids_sha256" in got.columns
+
+
+def test_stages_on_odd_tables(spark):
+    """Very long and repeated texts, clashing extra columns, rows without ids, and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    long = "The quick brown fox and the lazy dog went over the hill to see " + " ".join(f"w{i}x" for i in range(60_000))
+    odd = spark.createDataFrame([(800001, long, None, "s", None), (800002, None, None, None, None), (None, "no id but some words here", "en", "s", 3), (800003, "same text twice over and over again", "en", "s", 1), (800003, "same text twice over and over again", "en", "s", 1)], docs.schema)
+    wide = docs.unionByName(odd).selectExpr("*", "'x' as hash", "1 as key", "'y' as words", "2.5 as label", "'z' as spans")
+    for table in (wide, wide.filter("false")):
+        rows = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            if name != "bpe":
+                assert out.dtypes == table.dtypes, name
+            rows = spark.createDataFrame(out.collect(), out.schema)
+            if table is wide and name != "bpe":
+                by_id = {r.doc_id: r for r in rows.collect()}
+                assert 800002 not in by_id and {800001, 800003, None} <= set(by_id) and by_id[800001].hash == "x" and len(by_id[800001].text) == len(long)
+                assert name == "language_id" or rows.filter("doc_id = 800003").count() == 1
+        assert (rows.count() > 30) == (table is wide)

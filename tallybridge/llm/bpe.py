@@ -325,7 +325,8 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     and ``decoded`` (the tokens of these ids, joined by a space; a decoder is not part of these files).
     Strings of special tokens become their ids. Null and empty texts, and texts of white space, give
     no ids and the empty string. Repeated rows give repeated results; a null id stays null. There is
-    no limit on a text or a word: a word beyond 64 bytes is merged in its own tree in n log n steps.
+    no limit on a text or a word: a word beyond 64 bytes is merged in its own tree in n log n steps. An
+    empty table gives no rows.
     """
     tables = df.sparkSession.sparkContext.broadcast(load_tables(tokenizer_path))
     kind = df.schema[id_col].dataType.simpleString()

@@ -284,7 +284,9 @@ def tagging(model_bc, names: list[str]):
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` (with text and lang, and any others) whose language can be told.
 
-    Rows that the model answers with ``und`` go; a null lang becomes the predicted one.
+    Rows that the model answers with ``und`` go: null and empty texts, those without letters, and all where
+    nothing was learned. A null lang becomes the predicted one. Repeated rows stay or go together, a null
+    doc_id plays no part, an empty table stays empty, and other columns come through whatever their names.
     """
     bc = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(tagging(bc, docs.columns), docs.schema)
@@ -296,6 +298,9 @@ def fold() -> F.Column:
 
 
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """Learn from documents that are not held out, then predict all."""
+    """Learn from documents that are not held out, then predict all: a row for each row, as predict gives it.
+
+    A null doc_id is not held out, but no example either.
+    """
     model = train(docs.filter(fold() != 2), vocabulary_path)
     return predict(docs, model).withColumn("held_out", F.coalesce(fold() == 2, F.lit(False)))

@@ -214,7 +214,8 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] | None = None, template
     covered; of overlapping spans with one label the longest stays). A run counts from ``min_run``
     words; ``max_gap`` other words may part two runs of a chain; a chain counts from a share of
     ``min_cover``. Null and empty texts give no words and empty lists; a null id stays null; repeated
-    rows repeat.
+    rows repeat; an empty table gives no rows. Texts of any length are scanned whole, within one row. Of
+    equally long overlapping spans with one label the first by place stays.
     """
     run = scanning(BASE_PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, (min_run, max_gap, min_cover))
     kind = df.schema[id_col].dataType.simpleString()

@@ -67,7 +67,9 @@ def token_stream(df: DataFrame, ranks_path: str, pattern: str, separator: int, b
     """Encode rows into one flat token stream for each partition, cut into blocks at any token.
 
     Returns file, block (from 0), tokens (packed little-endian unsigned 16-bit ids) and ends: the ids of
-    the rows whose separator lies in the block, in order; the scan does not need them.
+    the rows whose separator lies in the block, in order; the scan does not need them. Null and empty
+    texts are documents of no tokens; a null id stays null; repeated rows repeat; texts of any length
+    run over as many blocks as they need; an empty table gives no blocks.
     """
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))

@@ -130,7 +130,8 @@ def test_validation_replay(spark, tmp_path, config):
                 assert found[0].affected_rows == c["details"]["affected_rows"]
     for e in data["exports"]:
         lines = list(csv.reader((tmp_path / "v" / e["file"]).open(newline="")))
-        assert [[("" if v is None else str(v)) for v in r] for r in fresh(e["evidence"])] == lines[1:] and len(lines) - 1 == e["rows"] == min(2, e["total_rows"])
+        shown = [["" if v is None else "NaN" if v != v else str(v) for v in r] for r in fresh(e["evidence"])]
+        assert shown == lines[1:] and len(lines) - 1 == e["rows"] == min(2, e["total_rows"])
 
 
 def test_contract_failure_is_replayed_up_to_the_sides(spark, tmp_path, config):

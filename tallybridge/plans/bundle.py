@@ -44,9 +44,11 @@ def write_csv(rows: DataFrame, path: Path) -> int:
     """One CSV file with a header, in the frame's order; returns its rows.
 
     Tasks write the parts of an ordered frame, which are ranges; the driver joins the files as bytes and sees no row.
+    A null that is its row's only value is written as an empty text, as Spark writes no line for nothing.
     """
     seen, parts = Observation(), path.with_name(f".parts-{path.stem}")
     texts = [named(c).cast("string").alias(c) for c in rows.columns]
+    texts = texts if len(texts) > 1 else [F.coalesce(texts[0], F.lit("")).alias(rows.columns[0])]
     rows.select(*texts).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**CSV_STYLE).csv(str(parts))
     with path.open("wb") as out:
         header = io.StringIO()

@@ -155,18 +155,17 @@ def ladder(c: Column, reader: dict) -> dict[str, Column]:
 
 
 def inferred(text: DataFrame, open_: list[str], reader: dict, uris: dict[str, int]) -> dict[int, dict[str, str]]:
-    """Types of the columns ``open_`` by file, from all values of all files in one job."""
+    """Types of the columns ``open_`` by file, from all values of all files in one job; files without rows have none."""
     checks = [check.alias(f"{i}_{kind}") for i, n in enumerate(open_) for kind, check in ladder(named(n), reader).items()]
     found = {uris[r[FILE]]: r for r in text.groupBy(named(FILE)).agg(*checks).collect()} if open_ else {}
-    out = {}
-    for number in uris.values():
-        r = found.get(number)
-        out[number] = {n: "VARCHAR" if r is None or not r[f"{i}_any"] else next((k for k in LADDER if r[f"{i}_{k}"]), "VARCHAR") for i, n in enumerate(open_)}
-    return out
+    return {number: {n: next((k for k in LADDER if r[f"{i}_{k}"]), "VARCHAR") if r[f"{i}_any"] else "VARCHAR" for i, n in enumerate(open_)} for number, r in found.items()}
 
 
 def csv_groups(spark: SparkSession, files: list[tuple[int, str]], options: dict) -> list[Group]:
-    """Groups of CSV files of one dialect, header and types; types are inferred from whole files where not given."""
+    """Groups of CSV files of one dialect, header and types; types are inferred from whole files where not given.
+
+    Files that hold a header alone, as Spark writes of an empty partition, have the types of the other files.
+    """
     if not files:
         return []
     given, alike = options.get("types", {}), {}
@@ -180,12 +179,16 @@ def csv_groups(spark: SparkSession, files: list[tuple[int, str]], options: dict)
             raise CompareError(f"csv types name unknown columns {sorted(unknown)}")
         reader = reader_options(d, header, options)
         alike.setdefault((tuple(names), json.dumps(reader)), []).append(number)
-    out = []
+    types: dict[int, dict[str, str]] = {}
     for (names, reader), numbers in alike.items():
         reader = json.loads(reader)
         text = csv_rows(spark, reader, {n: "VARCHAR" for n in names}, [paths[i] for i in numbers])
-        types = inferred(text, [n for n in names if n not in given], reader, {spark_uri(spark, paths[i]): i for i in numbers})
-        schemas = [{n: given.get(n) or types[i][n] for n in names} for i in numbers]
+        types |= inferred(text, [n for n in names if n not in given], reader, {spark_uri(spark, paths[i]): i for i in numbers})
+    usual = types[min(types)] if types else {}
+    out = []
+    for (names, reader), numbers in alike.items():
+        reader = json.loads(reader)
+        schemas = [{n: given.get(n) or types.get(i, usual).get(n, "VARCHAR") for n in names} for i in numbers]
         same_types(schemas)
         parsing = {"delimiter": reader["sep"], "header": reader["header"] == "true", "quote": reader["quote"], "escape": reader["escape"], "splittable": reader["multiLine"] == "false", "types": schemas[0], "reader": reader}
         out.append(Group(numbers, csv_rows(spark, reader, schemas[0], [paths[i] for i in numbers]), schemas[0], parsing))

@@ -134,6 +134,23 @@ def test_many_files_in_one_pass(spark, tmp_path):
     assert found.profile["row_count"] == 17 and len(jobs.getJobIdsForGroup("counting more")) == few, "jobs must not grow with the files"
 
 
+def test_files_of_a_header_alone(spark, tmp_path):
+    """Spark writes a header for an empty first partition; such a file has the types of the others."""
+    (tmp_path / "1.csv").write_text("id|day|word\n")
+    (tmp_path / "2.csv").write_text("id|day|word\n7|2024-01-02|a\n")
+    (tmp_path / "3.csv").write_text('id|day|word\n8|2024-01-03|"b\nc"\n')
+    found, rows = read(spark, tmp_path)
+    assert found.schema == {"id": "BIGINT", "day": "DATE", "word": "VARCHAR"} and sorted(r.id for r in rows) == [7, 8]
+    assert [f["rows"] for f in found.profile["files"]] == [0, 1, 1]
+    (tmp_path / "4.csv").write_text("id|day|word\nx|2024-01-02|a\n")
+    with pytest.raises(CompareError, match="disagree"):
+        read(spark, tmp_path)
+    (tmp_path / "alone").mkdir()
+    (tmp_path / "alone" / "1.csv").write_text("id|day|word\n")
+    found, rows = read(spark, tmp_path / "alone")
+    assert set(found.schema.values()) == {"VARCHAR"} and rows == []
+
+
 def test_folder_conflicts(spark, tmp_path):
     for k in (1, 2):
         (tmp_path / f"kind={k}").mkdir()

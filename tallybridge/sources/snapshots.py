@@ -208,7 +208,8 @@ def csv_rows(spark: SparkSession, reader: dict, schema: dict[str, str], paths: l
 def with_folders(rows: DataFrame, files: list[SourceFile], uris: list[str], stored: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
     """The rows with the columns of their folders, which are text; a stored column of that name stays as it is.
 
-    Values come by an equal join on the row's file; the frame of files has a short row for each file. The
+    Values come by an equal join on the row's file. The frame of files, a short row for each file that the driver
+    has listed, is broadcast: Spark takes it for large, and would broadcast the rows or bring each file to one task. The
     column ``<FILE><name>`` keeps the folder's value beside a stored column, to be compared with it.
     """
     names = list(files[0].folders)
@@ -219,7 +220,7 @@ def with_folders(rows: DataFrame, files: list[SourceFile], uris: list[str], stor
             raise CompareError("A folder's column and a column in the file differ by case alone")
     schema = T.StructType([T.StructField(FILE, T.StringType()), *[T.StructField(FILE + n if n in stored else n, T.StringType()) for n in names]])
     values = rows.sparkSession.createDataFrame([(u, *[f.folders[n] for n in names]) for u, f in zip(uris, files, strict=True)], schema)
-    return rows.join(values, FILE), stored | {n: "VARCHAR" for n in names if n not in stored}
+    return rows.join(F.broadcast(values), FILE), stored | {n: "VARCHAR" for n in names if n not in stored}
 
 
 def file_counts(rows: DataFrame, columns: list[str], conflicts: list[str]) -> dict[str, int]:

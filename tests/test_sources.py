@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tallybridge.catalogue import write_folders
 from tallybridge.errors import CompareError
 from tallybridge.functions.exact import exact_session
 from tallybridge.sources import dialect
@@ -151,6 +152,20 @@ def test_files_of_a_header_alone(spark, tmp_path):
     assert set(found.schema.values()) == {"VARCHAR"} and rows == []
 
 
+def test_folders_move_no_rows(spark, tmp_path):
+    """Folder values come to the rows where these are read; neither reading nor writing folders sorts or exchanges rows."""
+    for k in (1, 2):
+        (tmp_path / f"kind={k}").mkdir()
+        pq.write_table(pa.table({"id": list(range(50))}), tmp_path / f"kind={k}" / "x.parquet")
+    found, rows = read(spark, tmp_path)
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 100 and "BuildRight" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    write_folders(spark.range(90).selectExpr("id", "id % 3 AS kind"), "kind", tmp_path / "out")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert len(read(spark, tmp_path / "out")[1]) == 90
+
+
 def test_folder_conflicts(spark, tmp_path):
     for k in (1, 2):
         (tmp_path / f"kind={k}").mkdir()

@@ -98,3 +98,35 @@ def test_recall_against_brute_force(spark):
                 earlier.append(tokens)
     got = {r.doc_id for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(want) > 100 and len(want & got) >= 0.97 * len(want), (len(want & got), len(want))
+
+
+def test_links_beside_a_found_passage(spark):
+    """The last text of each three is near both others, which are not near each other; all must be joined."""
+    rnd = random.Random(77)
+    prose = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for n in range(60):
+        passage = prose(60)
+        for variant, changed in enumerate((11, 48, None)):
+            part = [w if i != changed else f"changed{variant}" for i, w in enumerate(passage)]
+            rows.append((3 * n + variant, " ".join(prose(30) + part + prose(30))))
+    got = {(r.doc_id, r.match_doc_id) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d // 3 == m // 3 and d % 3 == 2 for d, m in got)
+    both = [n for n in range(60) if {(3 * n + 2, 3 * n), (3 * n + 2, 3 * n + 1)} <= got]
+    assert len(both) >= 57, len(both)
+
+
+def test_a_found_passage_hides_no_other_link(spark):
+    """One part holds three texts; the last has a found passage with the first, and is near the second as well."""
+    rnd = random.Random(78)
+    prose = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage, rows = prose(60), []
+    for doc, changed in ((1, 11), (2, 48), (3, None), (4, 48)):
+        part = [w if i != changed else f"changed{changed}" for i, w in enumerate(passage)]
+        rows.append((doc, " ".join(prose(30) + part + prose(30)).encode()))
+    texts = spark.createDataFrame(rows, "doc_id long, text binary")
+    members = spark.createDataFrame([(9, d, 58, 0, 1) for d in (1, 2, 3, 4)], "key long, doc long, at long, reach long, lead long")
+    kinds = "doc_id long, first_word long, last_word long, match_doc_id long, match_first long, match_last long, similarity double"
+    found = spark.createDataFrame([(3, 30, 89, 1, 30, 89, 0.83)], kinds)
+    pairs = {(r.doc, r.lead) for r in passages.open_pairs(texts, members, found).collect()}
+    assert pairs in ({(3, 2), (4, 2)}, {(3, 2), (4, 3)}), pairs

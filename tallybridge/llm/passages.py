@@ -25,15 +25,15 @@ links while copies make few. Only a pair that passes leaves its task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, id_and_bytes, node_of, settle, slices, written
-from .shingles import LOWER, mix, run_hashes, word_bounds, word_hashes
+from .shingles import BLANK, LOWER, mix, run_hashes, word_bounds, word_hashes
 
 WIDTH, MIN_WORDS, MIN_TOKENS, PERCENT = 5, 50, 40, 80
 #: Hash functions, and how many of them must agree on a candidate.
@@ -122,17 +122,6 @@ def tokens_and_bounds(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np
     return tokens, at, at[:-1], np.maximum(at[:-1], at[1:] - WIDTH + 1)
 
 
-def hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket hash and document of each compact window, without its reaches."""
-    for piece in slices(batches):
-        tokens, at, first, last = tokens_and_bounds(piece)
-        if len(tokens) < MIN_TOKENS:
-            continue
-        docs = piece.column("doc_id").to_numpy()
-        for _, _, _, owner, hashes, keep in centred(tokens, at, first, last):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(docs[owner[keep]])], ["hash", "doc"])
-
-
 def windowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compact windows: hash (of function and min-hash), doc, place, function and reaches packed, and 32 bits
     each of the hashes of what stands left and right of the centre."""
@@ -153,6 +142,32 @@ def windowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in columns], ["hash", "doc", "at", "reach", "beside"])
 
 
+def shared_keys(batches: Iterator[pa.RecordBatch], key: str, order: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key those whose key several documents have, with the key's first values of the columns
+    in ``order``. Of a key no more is held than rows of one document, until another one comes."""
+    held: list[pa.RecordBatch] = []
+    # the last key and its first values, if several documents of it have come
+    known: tuple[int, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        keys, doc = (rows.column(c).to_numpy() for c in (key, "doc"))
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = [rows.column(c).to_numpy()[starts] for c in (key, *order)]
+        met = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
+        if known and known[0] == keys[0]:
+            met[0] = True
+            for c, v in zip(first, known, strict=True):
+                c[0] = v
+        known = tuple(int(c[-1]) for c in first) if met[-1] else None
+        held = [] if known else rows.slice(int(starts[-1])).to_batches()
+        size = np.diff(np.append(starts, len(keys)))
+        keep = np.repeat(met, size)
+        columns = [*(rows.column(c).to_numpy()[keep] for c in rows.column_names), *(np.repeat(c[met], size[met]) for c in first[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*rows.column_names, *("lead" if c == "doc" else f"l_{c}" for c in order)])
+
+
 def candidates(owner: np.ndarray, at: np.ndarray, l_at: np.ndarray, reach: np.ndarray, l_reach: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places where windows of enough hash functions overlap along one alignment: the pair of documents (by
     its number in ``owner``), token ranges of both, and by how much the first window's places differ."""
@@ -183,18 +198,40 @@ def pair_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "lead", "lo", "hi", "l_lo", "l_hi", "shift"])
 
 
-def listed(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
-    """A column of lists of structs as flat arrays: the row of each struct, and its members."""
-    flat = column.flatten()
-    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return (np.repeat(np.arange(len(column)), counts), *[flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
+def in_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come in order of ``keys``, as tables of whole groups and where each group begins, with the end.
+    A group is held whole, but no more."""
+
+    def table(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        at = np.stack([rows.column(c).to_numpy() for c in keys])
+        new = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+        return rows, np.concatenate([[0], new, [rows.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    last = np.zeros((len(keys), 1))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy() for c in keys])
+        new = np.flatnonzero((at != np.concatenate([last if held else at[:, :1], at[:, :-1]], axis=1)).any(axis=0))
+        last = at[:, -1:]
+        if len(new):
+            # the last group may go on in the next batch
+            yield table([*held, batch.slice(0, int(new[-1]))])
+            held = [batch.slice(int(new[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield table(held)
 
 
 def pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates, with some room, as windows of a part see no further than its centres' surroundings."""
-    for batch in batches:
-        row, lo, hi, l_lo, l_hi, shift = candidates(*listed(batch.column("hits"), "at", "l_at", "reach", "l_reach"))
-        doc, lead = (batch.column(c).to_numpy()[row] for c in ("doc", "lead"))
+    for rows, cuts in in_groups(batches, "doc", "lead"):
+        owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        owner, lo, hi, l_lo, l_hi, shift = candidates(owner, *(rows.column(c).to_numpy() for c in ("at", "l_at", "reach", "l_reach")))
+        doc, lead = (rows.column(c).to_numpy()[cuts[owner]] for c in ("doc", "lead"))
         columns = [doc, lead, np.maximum(0, lo - SLACK), hi + SLACK, np.maximum(0, l_lo - SLACK), l_hi + SLACK, shift]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "lead", "lo", "hi", "l_lo", "l_hi", "shift"])
 
@@ -234,13 +271,16 @@ def fetching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tokens_of(*texts: bytes) -> list[np.ndarray]:
     """Numbers of all runs of WIDTH words of some texts; words are told by their bytes, runs by 64 bits."""
-    words, number = [t.split() for t in texts], {}
-    flat = np.array([number.setdefault(w, len(number) + 1) for ws in words for w in ws], np.uint64)
-    if len(flat) < WIDTH:
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    starts, stops = word_bounds(raw)
+    if len(starts) < WIDTH:
         return [np.zeros(0, np.int64) for _ in texts]
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(stops - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw[~BLANK[raw]])])
+    flat = words.dictionary_encode().indices.to_numpy().astype(np.uint64) + np.uint64(1)
     _, runs = np.unique(run_hashes(mix(flat), WIDTH), return_inverse=True)
-    ends = np.cumsum([len(ws) for ws in words])
-    return [runs[e - len(ws) : max(e - len(ws), e - WIDTH + 1)] for e, ws in zip(ends.tolist(), words, strict=True)]
+    at = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])).tolist()
+    return [runs[a : max(a, b - WIDTH + 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def matches(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +308,14 @@ def longest(p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
     return int(begin[end]), end + 1
 
 
+def place_before(tokens: np.ndarray) -> np.ndarray:
+    """Where each token stands last before its place, or -1."""
+    order, out = np.argsort(tokens, kind="stable"), np.full(len(tokens), -1)
+    again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
+    out[order[again + 1]] = order[again]
+    return out
+
+
 def passages_of(x: np.ndarray, y: np.ndarray, shift: int = 0) -> list[tuple[int, int, int, int, float]]:
     """Passages that x and y share: first and last token in x, in y, and the similarity of their token sets.
 
@@ -275,6 +323,10 @@ def passages_of(x: np.ndarray, y: np.ndarray, shift: int = 0) -> list[tuple[int,
     """
     p, q = matches(x, y, shift)
     out = []
+    wide, slip = np.diff(p), np.abs(np.diff(q - p))
+    apart, rising = wide + slip, np.diff(q) > 0
+    x_before, y_before = place_before(x), place_before(y)
+    once = bool((x_before < 0).all() and (y_before < 0).all())
 
     def long(a: int, b: int) -> bool:
         return b - a > 1 and p[b - 1] - p[a] + WIDTH >= MIN_WORDS
@@ -282,13 +334,19 @@ def passages_of(x: np.ndarray, y: np.ndarray, shift: int = 0) -> list[tuple[int,
     def accept(a: int, b: int) -> tuple[bool, bool]:
         """Whether matches a..b-1 are a passage, and whether all tokens there are different and in order."""
         low, high = int(q[a:b].min()), int(q[a:b].max())
-        xs, ys = np.unique(x[p[a] : p[b - 1] + 1]), np.unique(y[low : high + 1])
-        shared = len(np.intersect1d(xs, ys, assume_unique=True))
-        union = len(xs) + len(ys) - shared
-        good = 100 * shared >= PERCENT * union and high - low + WIDTH >= MIN_WORDS
+        n, m = int(p[b - 1] - p[a]) + 1, high - low + 1
+        # each shared token is that of a match here; where none repeats, each match is one
+        shared, differ, both = b - a, True, n + m
+        if not once:
+            in_x, in_y = (int(np.count_nonzero(c)) for c in (x_before[p[a] : p[b - 1] + 1] < p[a], y_before[low : high + 1] < low))
+            shared, differ, both = int(np.count_nonzero(x_before[p[a:b]] < p[a])), in_x == n and in_y == m, in_x + in_y
+            if 100 * shared >= PERCENT * (both - shared):
+                shared = len(np.intersect1d(x[p[a] : p[b - 1] + 1], y[low : high + 1]))
+        union = both - shared
+        good = 100 * shared >= PERCENT * union and m - 1 + WIDTH >= MIN_WORDS
         if good:
             out.append((int(p[a]), int(p[b - 1]), low, high, shared / union))
-        return good, len(xs) == p[b - 1] - p[a] + 1 and len(ys) == high - low + 1 and bool((np.diff(q[a:b]) > 0).all())
+        return good, differ and bool(rising[a : b - 1].all())
 
     def judge(a: int, b: int) -> None:
         """Matches a..b-1: all of them, the longest stretch that is alike and what is beside it, or cut at the widest gap."""
@@ -299,12 +357,12 @@ def passages_of(x: np.ndarray, y: np.ndarray, shift: int = 0) -> list[tuple[int,
         if long(lo, hi) and (lo, hi) != (a, b) and accept(lo, hi)[0]:
             todo.extend([(hi, b), (a, lo)])
             return
-        gaps = np.diff(p[a:b]) + np.abs(np.diff(q[a:b] - p[a:b]))
+        gaps = apart[a : b - 1]
         if gaps.max() > 1 and not (plain and not long(lo, hi)):
             cut = a + 1 + int(np.argmax(gaps))
             todo.extend([(cut, b), (a, cut)])
 
-    breaks = np.flatnonzero((np.diff(p) > SLACK) | (np.abs(np.diff(q - p)) > SLACK)) + 1 if len(p) else np.zeros(0, np.int64)
+    breaks = np.flatnonzero((wide > SLACK) | (slip > SLACK)) + 1
     todo = list(zip([0, *breaks.tolist()], [*breaks.tolist(), len(p)], strict=True))
     while todo:
         a, b = todo.pop()
@@ -346,23 +404,32 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of each centre: the first document that shares a found passage around it, or else its own."""
-    apart = 1 << 32
-    for batch in batches:
-        row, key, at, lead = listed(batch.column("windows"), "key", "at", "is_lead")
-        held, first, last, match = listed(batch.column("spans"), "first_word", "last_word", "match_doc_id")
-        order = np.lexsort((at, row))
-        row, key, at, lead = (c[order] for c in (row, key, at, lead))
-        doc = batch.column("doc").to_numpy()[row]
-        where, root = row * apart + at, doc.copy()
-        begins, ends = np.searchsorted(where, held * apart + first), np.searchsorted(where, held * apart + last - WIDTH + 2)
+    """The class of each centre: the first document that shares a found passage around it, or else its own; as
+    ``base`` too where the document is the first of its part."""
+    for rows, cuts in in_groups(batches, "doc"):
+        key, at, lead, last, match = (rows.column(c).to_numpy() for c in ("key", "at", "lead", "last", "match"))
+        doc = rows.column("doc").to_numpy()
+        # a text's place in the table and a place in the text, as one number
+        where = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)) << 32 | at
+        held = np.flatnonzero(last >= 0)
+        first, end, match = where[held], where[held] - at[held] + last[held] - WIDTH + 2, match[held]
+        own = np.flatnonzero(last < 0)
+        own = own[np.argsort(where[own], kind="stable")]
+        key, doc, at, lead, where = (c[own] for c in (key, doc, at, lead, where))
+        root = doc.copy()
+        begins, ends = np.searchsorted(where, first), np.searchsorted(where, end)
         for k in np.argsort(-match, kind="stable").tolist():
             root[begins[k] : ends[k]] = match[k]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, at, root)), pa.array(lead.astype(bool))], ["key", "doc", "at", "root", "is_lead"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, at, root)), pa.array(root, mask=lead == 0)], ["key", "doc", "at", "root", "base"])
+
+
+def contents(around: np.ndarray) -> np.ndarray:
+    """A number for each row of tokens, the same for equal rows."""
+    return mix(around.astype(np.uint64) @ mix(np.arange(1, around.shape[1] + 1, dtype=np.uint64)))
 
 
 def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens around each asked centre, 32 bits of each; zeros stand beyond the text."""
+    """The tokens around each asked centre, 32 bits of each, and a number of them all; zeros stand beyond the text."""
     for piece in slices(batches):
         tokens, first = text_tokens(piece.column("text").to_pylist())
         edge = np.zeros(AROUND, np.uint32)
@@ -371,7 +438,8 @@ def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.array(asks, np.int64)
             seen = (at + begin)[:, None] + np.arange(2 * AROUND + 1)
             around = np.where((seen >= begin + AROUND) & (seen < end - WIDTH + 1 + AROUND), near[seen], 0).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at), pa.array([r.tobytes() for r in around], pa.binary())], ["doc", "at", "around"])
+            columns = [pa.array(np.full(len(at), doc)), pa.array(at), pa.array(contents(around).view(np.int64)), pa.array([r.tobytes() for r in around], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "at", "content", "around"])
 
 
 def long_enough(shared: np.ndarray, slip: np.ndarray | None = None) -> np.ndarray:
@@ -476,7 +544,7 @@ def links(block: np.ndarray, own: np.ndarray, is_open: np.ndarray, doc: np.ndarr
     ranked = np.sort(around, axis=1)
     once = ~((ranked[:, 1:] == ranked[:, :-1]) & (ranked[:, 1:] > 0)).any(axis=1)
     # repeated lines give the same surroundings again and again; each two contents are judged once
-    _, content = np.unique(mix(around.astype(np.uint64) @ mix(np.arange(1, around.shape[1] + 1, dtype=np.uint64))), return_inverse=True)
+    _, content = np.unique(contents(around), return_inverse=True)
     judged: dict[tuple[int, int], bool] = {}
     _, number = np.unique(root, return_inverse=True)
     _, group = np.unique(block * len(doc) + number, return_inverse=True)
@@ -549,60 +617,60 @@ def links(block: np.ndarray, own: np.ndarray, is_open: np.ndarray, doc: np.ndarr
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a task, which come in order of key, i and j; a block is held whole, but no more."""
-    held: list[pa.RecordBatch] = []
-
-    def blocks(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """All blocks of a task, which come in order of key, i and j."""
+    for rows, cuts in in_groups(batches, "key", "i", "j"):
         own, is_open, doc, at, root = (rows.column(c).to_numpy() for c in ("own", "open", "doc", "at", "root"))
         around = np.frombuffer(b"".join(rows.column("around").to_pylist()), "<u4").reshape(len(doc), -1)
         out = links(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), own.astype(bool), is_open.astype(bool), doc, at, root, around)
         columns = zip(*out, strict=True) if out else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "lead", "at", "l_at"])
-
-    for batch in batches:
-        held.append(batch)
-        rows = pa.Table.from_batches(held)
-        keys = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-        new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        if len(new):
-            # the last block may go on in the next batch
-            yield blocks(rows.slice(0, int(new[-1])), np.concatenate([[0], new]))
-            held = rows.slice(int(new[-1])).to_batches()
-    if held:
-        rows = pa.Table.from_batches(held)
-        keys = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-        new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        yield blocks(rows, np.concatenate([[0], new, [rows.num_rows]]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "lead", "at", "l_at"])
+
+
+def in_blocks(met: DataFrame, around: DataFrame) -> DataFrame:
+    """The centres of parts with several classes, dealt to blocks of open ones (i) and of all of a part (j)."""
+    part = Window.partitionBy("key")
+    # centres that are not open have one class in their part; of those with equal surroundings one stands for all
+    told = met.join(around.groupBy("doc", "at").agg(F.min("content").alias("content")), ["doc", "at"]).repartition("key")
+    each = [F.when(F.col("open"), F.col(c)).alias(f"open_{c}") for c in ("doc", "at")]
+    kept = told.groupBy("key", "root", "open", "content", *each).agg(F.min(F.struct("doc", "at")).alias("m")).select("key", "root", "open", "content", "m.doc", "m.at")
+    blocks = lambda n: F.ceil(n.over(part) / BLOCK).cast("int")
+    sized = kept.withColumns({"rows": blocks(F.count_if("open")), "columns": blocks(F.count("*"))})
+    place = F.pmod(F.xxhash64("doc", "at"), F.lit(1 << 30))
+    i, j = (place % F.col("rows")).cast("int"), (place % F.col("columns")).cast("int")
+    as_own = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda n: F.struct(F.lit(1).alias("own"), i.alias("i"), n.alias("j")))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda n: F.struct(F.lit(0).alias("own"), n.alias("i"), j.alias("j")))
+    full = sized.join(around.dropDuplicates(["doc", "at", "content"]), ["doc", "at", "content"])
+    dealt = full.withColumn("block", F.explode(F.when(F.col("open"), F.concat(as_own, as_other)).otherwise(as_other)))
+    return dealt.select("key", "block.i", "block.j", "block.own", "open", "doc", "at", "root", "around")
 
 
 def open_pairs(texts: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates between documents of one part whose centres there no found passages bring into one class."""
-    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("first_word", "last_word", "match_doc_id")).alias("spans"))
-    windows = members.groupBy("doc").agg(F.collect_list(F.struct("key", "at", F.expr("CAST(doc = lead AS TINYINT)").alias("is_lead"))).alias("windows"))
-    rooted = written(windows.join(spans, "doc", "left").mapInArrow(opening, "key long, doc long, at long, root long, is_lead boolean"))
-    settle(texts.sparkSession)
-    parts = rooted.groupBy("key").agg(F.min(F.when(F.col("is_lead"), F.col("root"))).alias("base"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "base")
-    met = written(rooted.join(parts, "key").select("key", "doc", "at", "root", (F.col("root") != F.col("base")).alias("open")))
-    discard(rooted)
-    settle(texts.sparkSession)
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")).select("key", blocks("n_open").alias("rows"), blocks("n").alias("columns"))
+    spark, none = texts.sparkSession, F.lit(-1).cast("long")
+    centres = members.select("doc", "key", "at", (F.col("doc") == F.col("lead")).cast("long").alias("lead"), none.alias("last"), none.alias("match"))
+    spans = found.select(F.col("doc_id").alias("doc"), none.alias("key"), F.col("first_word").alias("at"), none.alias("lead"), F.col("last_word").alias("last"), F.col("match_doc_id").alias("match"))
+    rooted = centres.union(spans).repartition("doc").sortWithinPartitions("doc").mapInArrow(opening, "key long, doc long, at long, root long, base long")
+    part = Window.partitionBy("key")
+    classes = rooted.withColumns({"base": F.min("base").over(part), "least": F.min("root").over(part), "most": F.max("root").over(part)}).filter("least < most")
+    met = written(classes.select("key", "doc", "at", "root", (F.col("root") != F.col("base")).alias("open")))
+    settle(spark)
     asks = met.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("asks"))
-    around = texts.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(surroundings, "doc long, at long, around binary")
-    full = written(met.join(sizes, "key").join(around.dropDuplicates(["doc", "at"]), ["doc", "at"]))
-    discard(met)
-    settle(texts.sparkSession)
-    place = F.pmod(F.xxhash64("doc", "at"), F.lit(1 << 30))
-    left = full.filter("open").withColumn("i", (place % F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    right = full.withColumn("j", (place % F.col("columns")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    names = ["key", "i", "j", "own", "open", "doc", "at", "root", "around"]
-    both = left.withColumn("own", F.lit(1)).select(names).union(right.withColumn("own", F.lit(0)).select(names))
+    around = written(texts.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(surroundings, "doc long, at long, content long, around binary"))
+    settle(spark)
+    both = in_blocks(met, around)
     pairs = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(alike, "doc long, lead long, at long, l_at long")
     out = written(pairs.groupBy("doc", "lead").agg(F.collect_set(F.struct("at", "l_at")).alias("places")).mapInArrow(merging, PAIRS))
-    discard(full)
+    discard(met, around)
     return out
 
 
+def several(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows whose key more than one document has; in an order, with the key's first values as lead and l_<name>."""
+    # by one column Spark sorts its rows several times as fast as by more
+    kinds = ", ".join(f"{c} long" for c in rows.columns + ["lead" if c == "doc" else f"l_{c}" for c in order])
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(partial(shared_keys, key=key, order=order), kinds)
+
+
 def unheld(later: DataFrame, first: DataFrame) -> DataFrame:
     """Of later findings, those that no first finding of the same two documents holds."""
     same = (F.col("n.doc_id") == F.col("f.doc_id")) & (F.col("n.match_doc_id") == F.col("f.match_doc_id"))
@@ -628,18 +696,14 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     texts = id_and_bytes(df.withColumn(id_col, node_of(id_col, text_col)), id_col, text_col)
     windows = texts.mapInArrow(windowing, "hash long, doc long, at long, reach long, beside long")
-    buckets = texts.mapInArrow(hashing, "hash long, doc long").groupBy("hash").agg(F.min("doc").alias("lead"), F.max("doc").alias("top")).filter("lead < top").drop("top")
-    shared = written(windows.join(buckets.select("hash"), "hash", "left_semi"))
+    shared = written(several(windows, "hash"))
     settle(spark)
     sides = F.array(F.xxhash64("hash", F.lit(1), F.shiftright("beside", 32)), F.xxhash64("hash", F.lit(2), F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF))))
-    keyed = shared.select("doc", "at", "reach", F.explode(sides).alias("key"))
-    parts = keyed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("top")).filter("lead < top").drop("top")
-    members = written(keyed.join(parts, "key"))
+    members = written(several(shared.select("doc", "at", "reach", F.explode(sides).alias("key")), "key", "doc", "at", "reach"))
     discard(shared)
     settle(spark)
-    leads = members.filter("doc = lead").groupBy("key").agg(F.min(F.struct("at", "reach")).alias("l"))
-    hits = members.filter("doc <> lead").join(leads, "key").select("doc", "lead", F.struct("at", "reach", F.col("l.at").alias("l_at"), F.col("l.reach").alias("l_reach")).alias("hit"))
-    pairs = hits.groupBy("doc", "lead").agg(F.collect_list("hit").alias("hits")).mapInArrow(pairing, PAIRS)
+    hits = members.filter("doc <> lead").select("doc", "lead", "at", "l_at", "reach", "l_reach")
+    pairs = hits.repartition("doc", "lead").sortWithinPartitions("doc", "lead").mapInArrow(pairing, PAIRS)
     first = written(verified(texts, pairs))
     settle(spark)
     later = open_pairs(texts, members, first)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tallybridge.llm import passages
 
@@ -130,3 +131,36 @@ def test_a_found_passage_hides_no_other_link(spark):
     found = spark.createDataFrame([(3, 30, 89, 1, 30, 89, 0.83)], kinds)
     pairs = {(r.doc, r.lead) for r in passages.open_pairs(texts, members, found).collect()}
     assert pairs in ({(3, 2), (4, 2)}, {(3, 2), (4, 3)}), pairs
+
+
+def test_shared_keys_over_any_batches():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rnd.integers(0, 60))
+        rows = np.stack([rnd.integers(-2, rnd.integers(1, 9), n), *(rnd.integers(0, k, n) for k in (3, 5, 9))])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        want = []
+        for r in rows.T.tolist():
+            same = [x for x in rows.T.tolist() if x[0] == r[0]]
+            if len({x[1] for x in same}) > 1:
+                want.append([*r, *same[0][1:]])
+        table = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "doc", "at", "reach"])
+        cuts = sorted([0, n, *rnd.integers(0, n + 1, 6).tolist()])
+        batches = [table.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = [list(r.values()) for b in passages.shared_keys(iter(batches), "key", ("doc", "at", "reach")) for r in b.to_pylist()]
+        assert got == want
+        groups = list(passages.in_groups(iter(batches), "key", "doc"))
+        assert [r for t, _ in groups for r in t.to_pylist()] == table.to_pylist()
+        begun = [tuple(t.column(c)[a].as_py() for c in ("key", "doc")) for t, at in groups for a in at[:-1].tolist()]
+        assert begun == sorted({(k, d) for k, d in rows[:2].T.tolist()})
+
+
+def test_equal_surroundings_reach_a_block_once(spark):
+    """Thirty copies that a found passage joins stand as one; open centres, equal or not, all come, as both sides."""
+    rows = [(1, d, 7, 1, False) for d in range(1, 31)] + [(1, d, 7, d, True) for d in (31, 32, 33)] + [(2, 1, 9, 1, False), (2, 40, 9, 40, True)]
+    met = spark.createDataFrame(rows, "key long, doc long, at long, root long, open boolean")
+    kept = [(d, 7, 100 + (d == 33), b"a" if d < 33 else b"b") for d in range(1, 34)] + [(1, 9, 102, b"c"), (40, 9, 103, b"d")]
+    around = spark.createDataFrame(kept, "doc long, at long, content long, around binary")
+    got = sorted((r.key, r.i, r.j, r.own, r.doc, r.root, bytes(r.around)) for r in passages.in_blocks(met, around).collect())
+    want = [(1, 0, 0, 0, 1, 1, b"a"), *((1, 0, 0, own, d, d, b"a" if d < 33 else b"b") for own in (0, 1) for d in (31, 32, 33))]
+    assert got == sorted([*want, (2, 0, 0, 0, 1, 1, b"c"), *((2, 0, 0, own, 40, 40, b"d") for own in (0, 1))])
